@@ -36,8 +36,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def cells(df: DataFrame, per: int = CELL_BYTES, least: int = 8) -> int:
     """How many bounded groups to deal df into, from the size its plan states (file sizes for a table)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(least, min(1 << 20, -(-size // per)))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-size // per))
 
 
 def partitions(df: DataFrame) -> int:
