@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, sharding
+from . import jaccard, mixing, packing, quality, sharding, suffixes
 
 QUERIES = {
     "op2_minimax_sharding": sharding.op2_minimax_sharding,
     "op3_adaptive_quality": quality.op3_adaptive_quality,
+    "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_token_group_join": jaccard.op9_token_group_join,
     "op7_hypergeometric_mix": mixing.op7_hypergeometric_mix,
