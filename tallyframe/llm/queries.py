@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, sharding, suffixes
+from . import jaccard, mixing, packing, quality, sharding, suffixes, windows
 
 QUERIES = {
     "op2_minimax_sharding": sharding.op2_minimax_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_token_group_join": jaccard.op9_token_group_join,
+    "op10_compact_windows": windows.op10_compact_windows,
     "op7_hypergeometric_mix": mixing.op7_hypergeometric_mix,
 }
 
