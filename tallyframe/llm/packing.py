@@ -21,7 +21,7 @@ from .wordpieces import encode
 
 LIMIT, END = 2048, 0
 #: Texts that a task encodes at a time: so many, or of so many characters.
-GROUP, GROUP_CHARS = 256, 1 << 20
+GROUP, GROUP_CHARS = 1024, 2 << 20
 #: Pieces that one numbering task is given, about; the most such tasks for a length.
 RUN_ROWS, MOST_RUNS = 200_000, 1024
 
