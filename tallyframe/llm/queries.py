@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, sharding, suffixes, windows
+from . import forest, jaccard, mixing, packing, quality, sharding, suffixes, warc, windows
 
 QUERIES = {
+    "op1_capture_index": warc.op1_capture_index,
     "op2_minimax_sharding": sharding.op2_minimax_sharding,
     "op3_adaptive_quality": quality.op3_adaptive_quality,
     "op4_suffix_dedup": suffixes.op4_suffix_dedup,
+    "op5_projection_forest": forest.op5_projection_forest,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_token_group_join": jaccard.op9_token_group_join,
     "op10_compact_windows": windows.op10_compact_windows,
