@@ -94,7 +94,7 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return keys, ns, many, token.view("<u8").ravel()
 
 
-def _pair(names: list[str], id_type: pa.DataType):
+def _pair(names: list[str], id_type: pa.DataType, percent: int):
     """The blocks of a bucket to pairs (kind 1) and postings that too many classes share (kind 2); profiles pass (kind 0)."""
 
     def rows(kind: int, a, b, na, nb, c) -> pa.Table:
@@ -126,6 +126,8 @@ def _pair(names: list[str], id_type: pa.DataType):
             found.append((members[:, i] * len(keys) + members[:, j]).ravel())
         pairs, often = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
         a, b = np.divmod(pairs, len(keys))
+        able = np.minimum(sizes[a], sizes[b]) * 100 >= np.maximum(sizes[a], sizes[b]) * percent
+        a, b, often = a[able], b[able], often[able]
         out = [rows(1, keys[a], keys[b], sizes[a], sizes[b], often)]
         hot = np.repeat(many > MOST_PAIRED, many)
         who = owner[hot]
@@ -144,8 +146,7 @@ def families(posted: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     of = lambda c: hots.select(F.col("a").alias(c), F.col("h").alias(f"h{c}"))
     least = F.ceil(F.col("percent") * (F.col("na") + F.col("nb")) / (100 + F.col("percent")))
-    able = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = pairs.where(able).join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("percent", F.lit(percent))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("percent", F.lit(percent))
     unseen = F.greatest(rest(F.col("na")), rest(F.col("nb"))) + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
     pairs = pairs.where(F.col("c") + unseen >= least).select("a", "b")
     bound = hots.where(F.col("h") > F.floor(F.col("n") / 10)).select("a")
@@ -258,12 +259,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     schema = _ROW.format(id=kind)
     names = [x.split()[0] for x in schema.split(", ")]
     blocks = texts.mapInArrow(_post(buckets, size, percent), f"bucket long, doc_id {kind}, key long, n int, block binary")
-    posted = written(blocks.groupBy("bucket").applyInArrow(_pair(names, id_type), schema), "jaccard-posted")
+    posted = written(blocks.groupBy("bucket").applyInArrow(_pair(names, id_type, percent), schema), "jaccard-posted")
     profile = posted.where("kind = 0").select("doc_id", F.col("a").alias("key"), F.col("na").alias("n"))
     first = profile.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     roots = families(posted, percent).select(F.col("node").alias("key"), "root")
     asked = written(first.join(roots, "key"), "jaccard-families")
-    near = texts.join(asked.withColumnRenamed("first", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "key", "doc_id", "text")
+    near = texts.join(asked.withColumnRenamed("first", "id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "key", "doc_id", "text")
     solved = near.groupBy("root").applyInArrow(_solve(size, percent, id_type), f"key long, least {kind}, classes long")
     known = first.join(written(solved, "jaccard-solved"), "key", "left").select("key", F.coalesce("least", "first").alias("component"))
     return profile.join(known, "key", "left").select(
