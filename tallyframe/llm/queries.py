@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, jaccard, mixing, packing, quality, sharding, suffixes, warc, windows
+from . import forest, jaccard, mixing, packing, quality, recount, sharding, suffixes, warc, windows
 
 QUERIES = {
     "op1_capture_index": warc.op1_capture_index,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_projection_forest": forest.op5_projection_forest,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_edit_counts": recount.op8_edit_counts,
     "op9_token_group_join": jaccard.op9_token_group_join,
     "op10_compact_windows": windows.op10_compact_windows,
     "op7_hypergeometric_mix": mixing.op7_hypergeometric_mix,
