@@ -1,0 +1 @@
+"""Comparison works on two bounded tables; there is nothing to stream."""
