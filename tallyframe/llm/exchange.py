@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cells, empty_text, partitions
+from .shingles import mixed
 
 #: Stands for a null doc_id: later than every other.
 LAST = np.iinfo(np.int64).max
@@ -39,7 +40,7 @@ def nothing(names: tuple[str, str, str]) -> pa.Table:
 
 def blocks(names: tuple[str, str, str], to: np.ndarray, own: int, arrays: tuple[np.ndarray, ...]) -> pa.Table:
     """A row for each value of `to`, with the arrays' entries for it; the arrays are ordered by it."""
-    cut = np.flatnonzero(np.diff(to, prepend=-1))
+    cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
     ends = np.append(cut[1:], len(to))
     packed = [b"".join((int(e - s).to_bytes(4, "little"), *(np.ascontiguousarray(a[s:e]).tobytes() for a in arrays))) for s, e in zip(cut, ends, strict=True)]
     return pa.Table.from_arrays([pa.array(to[cut], pa.int64()), pa.array(np.full(len(cut), own), pa.int64()), pa.array(packed, pa.binary())], list(names))
@@ -96,3 +97,27 @@ def common(key: tuple, rows: pa.Table) -> pa.Table:
     h, cell = h[hit], cell[hit]
     order = np.argsort(cell, kind="stable")
     return blocks(TO_CELL, cell[order], key[0].as_py(), (six(h[order] << np.uint64(16)),))
+
+
+def distinct(rows: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal rows together (within equal `by`, which it follows), where each run starts, each row's run.
+
+    Rows are compared byte by byte; their hash only brings equal ones together.
+    """
+    n, size = len(rows), rows.dtype.itemsize
+    raw = np.zeros((n, -(-size // 8) * 8), np.uint8)
+    raw[:, :size] = np.ascontiguousarray(rows).view(np.uint8).reshape(n, size)
+    words = raw.view("<u8")
+    h = np.zeros(n, np.uint64)
+    for k in range(words.shape[1]):
+        h = mixed(h ^ words[:, k])
+    order = np.argsort(h) if by is None else np.lexsort((h, by))
+    words = words[order]
+    new = np.ones(n, bool)
+    new[1:] = (words[1:] != words[:-1]).any(1)
+    if by is not None:
+        new[1:] |= by[order[1:]] != by[order[:-1]]
+    cut = np.flatnonzero(new)
+    which = np.empty(n, np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, cut, which

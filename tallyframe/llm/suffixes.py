@@ -1,8 +1,8 @@
 """Suffix-array dedup: removal of byte strings that an earlier document holds.
 
 Every string of `least` bytes has an anchor, the place in it whose next GRAM bytes hash lowest, and equal strings have
-equal anchors. Documents are dealt into cells. Cells exchange, in blocks by hash, first the hashes of their anchors,
-then the surroundings of those anchors that more than one document has, each distinct one once with its least
+equal anchors. Documents are dealt into cells. Cells exchange, in blocks by hash, first which texts an earlier document
+has as a whole, which then stand aside, next the hashes of the others' anchors, then the surroundings of those anchors that more than one document has, each distinct one once with its least
 document. Equal strings meet in one block, where a Burrows-Wheeler transform of the surroundings tells which of their
 suffixes share `least` bytes. What an earlier document holds goes back to the cells as spans.
 """
@@ -14,18 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .bwt import shared
-from .common import cells, empty_text, partitions, table
+from .common import table
+from .exchange import LAST, SIX, TO_BUCKET, TO_CELL, announced, blocks, common, dealt, distinct, eight, gathered, nothing, opened, schema, unblocked
 from .shingles import mixed
 
-LEAST, GRAM = 50, 16
+LEAST, GRAM = 50, 20
 #: Bytes that are hashed at a time; longer texts are cut into overlapping slices.
 SLICE = 1 << 20
-#: Stands for a null doc_id: later than every other.
-LAST = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -97,80 +96,99 @@ def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _opened(cell: pa.Table) -> tuple[list, list[bytes]]:
-    """doc_ids and texts of a cell, in an order that every pass finds again."""
-    rows = sorted(zip(cell["doc_id"].to_pylist(), cell["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0], r[1]))
-    return [LAST if d is None else d for d, _ in rows], [t for _, t in rows]
+_TEXT = np.dtype([("low", "<u8"), ("high", "<u8")])
 
 
-def _blocks(names: tuple[str, str, str], to: np.ndarray, own: int, arrays: tuple[np.ndarray, ...]) -> pa.Table:
-    """A row for each value of `to`, with the arrays' entries for it; the arrays are ordered by it."""
-    cut = np.flatnonzero(np.diff(to, prepend=-1))
-    ends = np.append(cut[1:], len(to))
-    packed = [b"".join((int(e - s).to_bytes(4, "little"), *(np.ascontiguousarray(a[s:e]).tobytes() for a in arrays))) for s, e in zip(cut, ends, strict=True)]
-    return pa.Table.from_arrays([pa.array(to[cut], pa.int64()), pa.array(np.full(len(cut), own), pa.int64()), pa.array(packed, pa.binary())], list(names))
+def _keys(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), _TEXT)
 
 
-def _unblocked(block: bytes, kinds: list) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(block[:4], "little"), 4, []
-    for kind in kinds:
-        kind = np.dtype(kind)
-        out.append(np.frombuffer(block, kind, n, at))
-        at += n * kind.itemsize
+def _texts(buckets: int):
+    """The distinct texts of a cell, each with its least document, by bucket."""
+
+    def run(key: tuple, cell: pa.Table) -> pa.Table:
+        ids, texts = opened(cell)
+        keys, first = np.unique(_keys(texts), return_index=True)  # texts are in order of doc_id
+        bucket = (keys["low"] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return blocks(TO_BUCKET, bucket[order], key[0].as_py(), (keys[order], np.array(ids, "<i8")[first[order]]))
+
+    return run
+
+
+def _least(key: tuple, rows: pa.Table) -> pa.Table:
+    """To each cell the texts whose least document is in another."""
+    cell, (keys, doc) = gathered(rows, [_TEXT, "<i8"])
+    _, which = np.unique(keys, return_inverse=True)
+    least = np.full(which.max() + 1, LAST)
+    np.minimum.at(least, which, doc)
+    hit = np.flatnonzero(least[which] < doc)
+    hit = hit[np.argsort(cell[hit], kind="stable")]
+    return blocks(TO_CELL, cell[hit], key[0].as_py(), (keys[hit], least[which[hit]]))
+
+
+def _copies(ids: list[int], texts: list[bytes], named: pa.Table) -> np.ndarray:
+    """Which texts a smaller doc_id has as a whole."""
+    doc, keys = np.array(ids, np.int64), _keys(texts)
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    out = doc > doc[first[which]]
+    if named.num_rows:
+        theirs, least = gathered(named, [_TEXT, "<i8"])[1]
+        at = np.argsort(theirs, order=("low", "high"))
+        theirs, least = theirs[at], least[at]
+        where = np.minimum(np.searchsorted(theirs, keys), len(theirs) - 1)
+        out |= (theirs[where] == keys) & (least[where] < doc)
     return out
 
 
-def _six(h: np.ndarray) -> np.ndarray:
-    """The upper 6 bytes of each hash."""
-    return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def _note(key: tuple, rows: np.ndarray) -> pa.Table:
+    """What a cell tells itself, past the buckets."""
+    own = key[0].as_py()
+    return blocks(TO_BUCKET, np.full(len(rows), -1 - own), own, (rows.astype("<u4"),))
 
 
-def _eight(short: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(short), 8), np.uint8)
-    out[:, :6] = short
-    return out.view("<u8").ravel()
+def _noted(found: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """What the cell told itself, and the rest."""
+    mine = pa.compute.less(found["bucket"], 0)
+    rows = found.filter(mine)
+    return (gathered(rows, ["<u4"])[1][0].astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)), found.filter(pa.compute.invert(mine))
 
 
-_SIX, _CELL, _BUCKET = "V6", ("cell", "bucket", "block"), ("bucket", "cell", "block")
+def _passed(key: tuple, rows: pa.Table) -> pa.Table:
+    return pa.Table.from_arrays([rows["cell"], rows["bucket"], rows["block"]], list(TO_CELL))
 
 
 def _announce(buckets: int, least: int):
-    """A cell's distinct anchors, with whether two of its documents have them, by bucket."""
-
-    def run(key: tuple, cell: pa.Table) -> pa.Table:
-        ids, texts = _opened(cell)
+    """A cell's distinct anchors, of texts that are no copies."""
+
+    def run(key: tuple, cell: pa.Table, named: pa.Table) -> pa.Table:
+        if not cell.num_rows:
+            return nothing(TO_BUCKET)
+        ids, texts = opened(cell)
+        copies = np.flatnonzero(_copies(ids, texts, named))
+        for k in copies:
+            texts[k] = b""
         owner, _, h = anchors(texts, least)
-        doc = np.array(ids, np.int64)[owner]
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        cut = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(h)) - 1 if len(h) else cut
-        many = (doc[cut] != doc[ends]).astype(np.uint8)
-        h = h[cut]
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return _blocks(_BUCKET, bucket[order], key[0].as_py(), (_six(h[order]), many[order]))
+        return pa.concat_tables([announced(buckets, key[0].as_py(), np.array(ids, np.int64)[owner], h), _note(key, copies)])
 
     return run
 
 
-def _common(key: tuple, blocks: pa.Table) -> pa.Table:
-    """To each cell those of its anchors that more than one document has."""
-    parts = [_unblocked(b, [_SIX, np.uint8]) for b in blocks["block"].to_pylist()]
-    h = _eight(np.concatenate([p[0].view(np.uint8).reshape(-1, 6) for p in parts]))
-    many = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    cell = np.repeat(blocks["cell"].to_numpy(), [len(p[0]) for p in parts])
-    _, which, often = np.unique(h, return_inverse=True, return_counts=True)
-    often = often + np.bincount(which, many, len(often)).astype(np.int64)
-    hit = often[which] > 1
-    h, cell = h[hit], cell[hit]
-    order = np.argsort(cell, kind="stable")
-    return _blocks(_CELL, cell[order], key[0].as_py(), (_six(h[order] << np.uint64(16)),))
+def _common(key: tuple, rows: pa.Table) -> pa.Table:
+    return _passed(key, rows) if key[0].as_py() < 0 else common(key, rows)
+
+
+def _pressed(block: bytes) -> bytes:
+    return pa.Codec("zstd", 1).compress(block, asbytes=True)
+
+
+def _kinds(least: int, gram: int) -> list:
+    return [np.dtype([("bytes", np.uint8, 2 * least - gram), ("start", np.uint8), ("end", np.uint8)]), "<u4"]
 
 
-def _kinds(least: int, gram: int) -> tuple[list, list]:
-    around = np.dtype([("bytes", np.uint8, 2 * least - gram), ("start", np.uint8), ("end", np.uint8)])
-    return [around, "<u4"], ["<u4", "<i8", "<u4", "<i8"]
+def _unpressed(block: bytes) -> tuple[bytes, bytes]:
+    size, pressed = int.from_bytes(block[:8], "little"), int.from_bytes(block[8:16], "little")
+    return pa.Codec("zstd", 1).decompress(block[16 : 16 + pressed], size, asbytes=True), block[16 + pressed :]
 
 
 def _surround(buckets: int, least: int):
@@ -178,23 +196,29 @@ def _surround(buckets: int, least: int):
     gram = min(GRAM, least)
     width = least - gram + 1
     reach = np.arange(1 - width, least)
-
-    def run(key: tuple, cell: pa.Table, common: pa.Table) -> pa.Table:
-        nothing = pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], list(_BUCKET))
-        if not cell.num_rows or not common.num_rows:
-            return nothing
-        ids, texts = _opened(cell)
+    head = _kinds(least, gram)
+
+    def run(key: tuple, cell: pa.Table, found: pa.Table) -> pa.Table:
+        if not cell.num_rows:
+            return nothing(TO_BUCKET)
+        ids, texts = opened(cell)
+        copies, wanted = _noted(found)
+        whole = [k for k in copies if len(texts[k]) >= least]
+        note = _note(key, np.array(whole, np.int64))
+        for k in copies:
+            texts[k] = b""
+        if not wanted.num_rows:
+            return note
         owner, at, h = anchors(texts, least)
-        wanted = np.unique(_eight(np.concatenate([_unblocked(b, [_SIX])[0].view(np.uint8).reshape(-1, 6) for b in common["block"].to_pylist()])))
-        hit = np.isin(h >> np.uint64(16), wanted)
+        hit = np.isin(h >> np.uint64(16), np.unique(eight(gathered(wanted, [SIX])[1][0])))
         owner, at, h = owner[hit], at[hit], h[hit]
         if not len(h):
-            return nothing
+            return note
         starts = np.cumsum([0, *map(len, texts)])
         raw = np.frombuffer(b"".join(texts), np.uint8)
         lens = np.diff(starts)[owner]
         bucket = (h % np.uint64(buckets)).astype(np.int64)
-        what = np.zeros(len(h), np.dtype([("bucket", ">i8"), *_kinds(least, gram)[0][0].descr]))
+        what = np.zeros(len(h), head[0])
         for s in range(0, len(h), 50_000):
             e = slice(s, s + 50_000)
             place = at[e, None] + reach
@@ -202,49 +226,50 @@ def _surround(buckets: int, least: int):
             what["bytes"][e] = np.where(inside, raw[np.clip(starts[owner[e], None] + place, 0, len(raw) - 1)], 0)
         what["start"] = np.maximum(0, width - 1 - at)
         what["end"] = np.minimum(len(reach), lens - at + width - 1)
-        what["bucket"] = bucket
-        rows, which = np.unique(what.view(f"V{what.dtype.itemsize}"), return_inverse=True)  # bucket first, so in its order
-        rows = rows.view(what.dtype)
-        around = np.empty(len(rows), _kinds(least, gram)[0][0])
-        for f in around.dtype.names:
-            around[f] = rows[f]
-        order = np.argsort(which, kind="stable")
-        to = rows["bucket"].astype(np.int64)
-        many = np.bincount(which, minlength=len(rows)).astype("<u4")
-        heads = _blocks(_BUCKET, to, key[0].as_py(), (around, many))
-        ends = np.cumsum(many)
-        cut = np.flatnonzero(np.diff(to, prepend=-1))
-        tails = _blocks(_BUCKET, np.repeat(to, many), key[0].as_py(), (owner[order].astype("<u4"), np.array(ids, "<i8")[owner[order]], at[order].astype("<i8")))
-        assert len(cut) == heads.num_rows == tails.num_rows and ends[-1] == len(order)
-        both = [len(a).to_bytes(8, "little") + a + b for a, b in zip(heads["block"].to_pylist(), tails["block"].to_pylist(), strict=True)]
-        return heads.set_column(2, "block", pa.array(both, pa.binary()))
+        order, cut, which = distinct(what, bucket)
+        around, to = what[order[cut]], bucket[order[cut]]
+        many = np.diff(np.append(cut, len(order))).astype("<u4")
+        heads = blocks(TO_BUCKET, to, key[0].as_py(), (around, many))
+        tails = blocks(TO_BUCKET, bucket[order], key[0].as_py(), (owner[order].astype("<u4"), np.array(ids, "<i8")[owner[order]], at[order].astype("<i8")))
+        both = [_pressed(a) for a in heads["block"].to_pylist()]
+        both = [b"".join((len(a).to_bytes(8, "little"), len(z).to_bytes(8, "little"), z, b)) for a, z, b in zip(heads["block"].to_pylist(), both, tails["block"].to_pylist(), strict=True)]
+        return pa.concat_tables([heads.set_column(2, "block", pa.array(both, pa.binary())), note])
 
     return run
 
 
+def _twice(rows: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Which rows have these columns in common with another."""
+    part = np.ascontiguousarray(rows[:, start:end]).view(f"V{end - start}").ravel()
+    _, cut, which = distinct(part)
+    return np.diff(np.append(cut, len(part)))[which] > 1
+
+
 def _search(least: int):
     """To each cell the spans of its documents that an earlier document holds."""
     gram = min(GRAM, least)
     width = least - gram + 1
-    head, _ = _kinds(least, gram)
-
-    def run(key: tuple, blocks: pa.Table) -> pa.Table:
-        raw = blocks["block"].to_pylist()
-        heads = [_unblocked(b[8 : 8 + int.from_bytes(b[:8], "little")], head) for b in raw]
-        tails = [_unblocked(b[8 + int.from_bytes(b[:8], "little") :], ["<u4", "<i8", "<i8"]) for b in raw]
+    head = _kinds(least, gram)
+
+    def run(key: tuple, sent: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return _passed(key, sent)
+        raw = [_unpressed(b) for b in sent["block"].to_pylist()]
+        heads = [unblocked(a, head) for a, _ in raw]
+        tails = [unblocked(b, ["<u4", "<i8", "<i8"]) for _, b in raw]
         around = np.concatenate([x[0] for x in heads])
         owner, doc, at = (np.concatenate([x[k] for x in tails]) for k in range(3))
-        cell = np.repeat(blocks["cell"].to_numpy(), [len(x[0]) for x in tails])
-        rows, which = np.unique(around.view(f"V{around.dtype.itemsize}"), return_inverse=True)
-        rows = rows.view(around.dtype)
+        cell = np.repeat(sent["cell"].to_numpy(), [len(x[0]) for x in tails])
+        order, cut, which = distinct(around)
+        rows = around[order[cut]]
         row = np.repeat(which, np.concatenate([x[1] for x in heads]))
         first = np.full(len(rows), LAST)
         np.minimum.at(first, row, doc)
         start, end = rows["start"].astype(np.int64), rows["end"].astype(np.int64)
         best = np.repeat(first[:, None], width, 1)
-        grams = np.ascontiguousarray(rows["bytes"][:, width - 1 : width - 1 + gram]).view(f"V{gram}").ravel()
-        _, group, often = np.unique(grams, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(often[group] > 1)  # others are alone with their anchor
+        # A string of `least` bytes reaches half of its rest or more to one side of its anchor; others can share none.
+        half = (least - gram + 1) // 2
+        some = np.flatnonzero(_twice(rows["bytes"], width - 1, width - 1 + gram + half) | _twice(rows["bytes"], width - 1 - half, width - 1 + gram))
         if len(some):
             col = np.arange(2 * least - gram + 1)
             symbols = np.zeros((len(some), len(col)), np.uint16)
@@ -272,7 +297,7 @@ def _search(least: int):
         occ, run_ = occ[hit], run_[hit]
         base = at[occ] - (width - 1)
         order = np.argsort(cell[occ], kind="stable")
-        return _blocks(_CELL, cell[occ][order], key[0].as_py(), (owner[occ][order].astype("<u4"), (base + o1[run_])[order].astype("<i8"), (base + o2[run_] - 1 + least)[order].astype("<i8")))
+        return blocks(TO_CELL, cell[occ][order], key[0].as_py(), (owner[occ][order].astype("<u4"), (base + o1[run_])[order].astype("<i8"), (base + o2[run_] - 1 + least)[order].astype("<i8")))
 
     return run
 
@@ -287,11 +312,11 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 def _removed(key: tuple, cell: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a cell without what was found."""
-    ids, texts = _opened(cell)
-    spans: dict[int, list[tuple[int, int]]] = {}
+    ids, texts = opened(cell)
+    copies, found = _noted(found)
+    spans: dict[int, list[tuple[int, int]]] = {int(k): [(0, len(texts[k]))] for k in copies}
     if found.num_rows:
-        parts = [_unblocked(b, ["<u4", "<i8", "<i8"]) for b in found["block"].to_pylist()]
-        owner, start, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        owner, start, end = gathered(found, ["<u4", "<i8", "<i8"])[1]
         order = np.argsort(owner, kind="stable")
         owner, start, end = owner[order], start[order], end[order]
         cut = np.flatnonzero(np.diff(owner.astype(np.int64), prepend=-1))
@@ -318,15 +343,13 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     empty. A null doc_id is later than all others. Rows of one doc_id take nothing from each other. Texts shorter than
     `least` stay whole. Other columns are ignored. Empty table: no rows.
     """
-    many = max(cells(docs), partitions(docs))
-    text = F.encode(empty_text(), "UTF-8").alias("text")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.pmod(F.xxhash64("doc_id", F.lit("cell")), F.lit(many)).alias("cell")).repartition(many, "cell")
-    by_cell = lambda: dealt.groupBy("cell")
-    block = "{} long, {} long, block binary"
-    announced = by_cell().applyInArrow(_announce(many, least), block.format("bucket", "cell"))
-    common = announced.groupBy("bucket").applyInArrow(_common, block.format("cell", "bucket"))
-    around = by_cell().cogroup(common.groupBy("cell")).applyInArrow(_surround(many, least), block.format("bucket", "cell"))
-    found = around.groupBy("bucket").applyInArrow(_search(least), block.format("cell", "bucket"))
+    cells_, many = dealt(docs)
+    by_cell = lambda: cells_.groupBy("cell")
+    named = by_cell().applyInArrow(_texts(many), schema(TO_BUCKET)).groupBy("bucket").applyInArrow(_least, schema(TO_CELL))
+    told = by_cell().cogroup(named.groupBy("cell")).applyInArrow(_announce(many, least), schema(TO_BUCKET))
+    shared_ = told.groupBy("bucket").applyInArrow(_common, schema(TO_CELL))
+    around = by_cell().cogroup(shared_.groupBy("cell")).applyInArrow(_surround(many, least), schema(TO_BUCKET))
+    found = around.groupBy("bucket").applyInArrow(_search(least), schema(TO_CELL))
     return by_cell().cogroup(found.groupBy("cell")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
 
 
