@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -116,10 +117,8 @@ class _Matcher:
         """Both sides with occ, nl and nr; occ is 0 for keys that don't repeat, else unique within the key."""
         keys = self.key_names
         counts = self.repeats.select(*[F.col(k).alias(f"x{k}") for k in keys], "nl", "nr")
-        match = lambda rows: [rows[k].eqNullSafe(counts[f"x{k}"]) for k in keys]
-        drop = [f"x{k}" for k in keys]
-        left = left.join(counts, match(left), "left").drop(*drop)
-        right = right.join(counts, match(right), "left").drop(*drop)
+        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"x{k}")) for k in keys])
+        left, right = (rows.join(counts, match, "left").drop(*[f"x{k}" for k in keys]) for rows in (left, right))
         repeats = F.col("nl").isNotNull()
         if self.duplicates == "number":
             order = [f"o{i}" for i in range(len(self.order))]
@@ -130,7 +129,7 @@ class _Matcher:
         pairs = pairing.matched(of(left, 0, "lo"), of(right, 1, "ro"), keys, values).persist()
         left = left.withColumn("occ", F.when(repeats, F.col("lo") + 1).otherwise(F.lit(0).cast("long")))
         partner = pairs.select(F.col("lo").alias("partner"), F.col("ro").alias("of"))
-        right = right.join(partner, right["ro"] == partner["of"], "left").drop("of")
+        right = right.join(partner, F.col("ro") == F.col("of"), "left").drop("of")
         occ = F.when(F.col("partner").isNotNull(), F.col("partner") + 1).when(repeats, -1 - F.col("ro")).otherwise(F.lit(0).cast("long"))
         return left, right.withColumn("occ", occ).drop("partner")
 
@@ -140,23 +139,24 @@ class _Matcher:
             left, right = (self._side(s, n, ordered(self.sides[s], n)) for s, n in ((0, "lo"), (1, "ro")))
         else:
             left, right = (self._side(s, n if ordinal else None) for s, n in ((0, "lo"), (1, "ro")))
-        keys = list(self.key_names)
-        extra = []
+        keys, extra = list(self.key_names), []
         if self.repeats is not None:
             if not numbered:
                 left, right = left.persist(), right.persist()  # ordinals must not change between uses
             left, right = self._occurrences(left, right)
             keys.append("occ")
-            extra = [F.coalesce(left["nl"], right["nl"]).alias("nl"), F.coalesce(left["nr"], right["nr"]).alias("nr")]
-        both = left.join(right, pairing.same(left, right, keys), "full_outer")
-        key_columns = [F.coalesce(left[k], right[k]).alias(k) for k in self.key_names]
-        values = [left[f"l{i}"] for i in range(len(self.compared + self.only[0]))] + [right[f"r{i}"] for i in range(len(self.compared + self.only[1]))]
-        in_l, in_r = F.coalesce(left["in_l"], F.lit(False)), F.coalesce(right["in_r"], F.lit(False))
+            extra = [F.coalesce(n, f"r_{n}").alias(n) for n in ("nl", "nr")]
+        shared = [c for c in right.columns if c in left.columns]
+        right = right.withColumnsRenamed({c: f"r_{c}" for c in shared})
+        both = left.join(right, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]), "full_outer")
+        key_columns = [F.coalesce(k, f"r_{k}").alias(k) for k in self.key_names]
+        values = [f"l{i}" for i in range(len(self.compared + self.only[0]))] + [f"r{i}" for i in range(len(self.compared + self.only[1]))]
+        in_l, in_r = F.coalesce("in_l", F.lit(False)), F.coalesce("in_r", F.lit(False))
         flags = []
         for i, c in enumerate(self.compared):
             l, r = (comparable(F.col(f"{m}{i}"), self.types[s][c], self.casts[c]) for s, m in ((0, "l"), (1, "r")))
             flags.append((in_l & in_r & differs(l, r)).alias(f"d{i}"))
-        out = both.select(*key_columns, *values, *extra, in_l.alias("in_l"), in_r.alias("in_r"), *flags, *([left["lo"], right["ro"]] if numbered else []))
+        out = both.select(*key_columns, *values, *extra, in_l.alias("in_l"), in_r.alias("in_r"), *flags, *(["lo", "ro"] if numbered else []))
         any_flag = F.lit(False)
         for i in range(len(self.compared)):
             any_flag = any_flag | F.col(f"d{i}")

@@ -17,9 +17,14 @@ MOST_FOR_KEY, MOST_IN_ALL = 10_000, 1_000_000
 _PAIR = "array<struct<n:int,lo:bigint,ro:bigint>>"
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Null-safe equality of columns that both frames have."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in names])
+def renamed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows whose columns of these names begin with r_."""
+    return rows.withColumnsRenamed({c: f"r_{c}" for c in names})
+
+
+def same(names: list[str]) -> Column:
+    """Null-safe equality of columns with those that renamed() made."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in names])
 
 
 def key_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,10 +57,7 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
     rest_r = exact.where("lo is null").select(*keys, *values, "ro")
 
     count = lambda rows, n: rows.groupBy(*keys).agg(F.count("*").alias(n))
-    sizes = count(rest_l, "a").alias("x")
-    other = count(rest_r, "b").alias("y")
-    sizes = sizes.join(other, reduce(lambda p, q: p & q, [F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`")) for c in keys]))
-    sizes = sizes.select(*[F.col(f"x.`{c}`").alias(c) for c in keys], (F.col("a") * F.col("b")).alias("n"))
+    sizes = count(rest_l, "a").join(renamed(count(rest_r, "b"), keys), same(keys)).select(*keys, (F.col("a") * F.col("b")).alias("n"))
     limit, ties = _cutoff(sizes)
     small = F.col("n") < limit
     if ties:
@@ -66,13 +68,11 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
         sizes = sizes.withColumn("small", small)
 
     def of(rows: DataFrame, flag: Column) -> DataFrame:
-        own = sizes.where(flag).select(*keys)
-        return rows.join(own, same(rows, own, keys), "left_semi")
+        return rows.join(renamed(sizes.where(flag).select(*keys), keys), same(keys), "left_semi")
 
-    a, b = of(rest_l, F.col("small")), of(rest_r, F.col("small"))
-    b = b.select(*[F.col(c).alias(f"r_{c}") for c in keys + values], "ro")
+    a, b = of(rest_l, F.col("small")), renamed(of(rest_r, F.col("small")), keys + values)
     distance = sum([F.when(F.col(c).eqNullSafe(F.col(f"r_{c}")), 0).otherwise(1) for c in values], F.lit(0))
-    pairs = a.join(b, reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in keys]))
+    pairs = a.join(b, same(keys))
     pairs = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(distance.cast("int").alias("n"), "lo", "ro"))).alias("all"))
     taken = F.aggregate(
         "all",
@@ -83,7 +83,7 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
 
     place = lambda rows, by: rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
     c, d = place(of(rest_l, ~F.col("small")), "lo"), place(of(rest_r, ~F.col("small")), "ro")
-    placed = c.join(d, same(c, d, keys) & (c["at"] == d["at"])).select("lo", "ro")
+    placed = c.join(renamed(d, [*keys, *values, "at"]), same([*keys, "at"])).select("lo", "ro")
     return equal.unionByName(similar).unionByName(placed)
 
 

@@ -120,7 +120,7 @@ class DiffResult:
         n = self._counts
         repeats = (0, 0)
         if self._repeats is not None:
-            repeats = tuple(self._repeats.agg(F.count_if("nl > 1"), F.count_if("nr > 1")).first())
+            repeats = tuple(self._repeats.agg(F.count_if(F.col("nl") > 1), F.count_if(F.col("nr") > 1)).first())
         both = n["equal"] + n["mismatch"]
         return Summary(n["equal"], n["mismatch"], n["missing_left"], n["missing_right"], both + n["missing_right"], both + n["missing_left"], *repeats, self._mode)
 
