@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Input bytes (as the plan estimates them) that one cell or bucket stands for.
 CELL_BYTES = 4 << 20
+#: A size from which a plan means that it doesn't know.
+UNKNOWN = 1 << 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cells(df: DataFrame, per: int = CELL_BYTES, least: int = 8) -> int:
-    """How many bounded groups to deal df into, from the size its plan states (file sizes for a table)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def cells(docs: DataFrame, per: int = CELL_BYTES, least: int = 8) -> int:
+    """How many bounded groups to deal docs into: by the size its plan states, which for tables is that of their files.
+
+    Where the plan's leaves state none, as for rows from the driver, the texts are measured.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = min(int(plan.stats().sizeInBytes()), sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())))
+    if size >= UNKNOWN:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(least, -(-size // per))
 
 

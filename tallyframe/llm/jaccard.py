@@ -67,7 +67,7 @@ def _post(buckets: int, size: int, percent: int):
                 order = np.argsort(bucket, kind="stable")
                 bucket, token, owner = bucket[order], token[order], owner[order]
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(cut[1:], len(bucket))
+                ends = np.append(cut[1:], len(bucket))[: len(cut)]
                 blocks = [_packed(np.array(keys), np.array(ns), token[s:e], owner[s:e]) for s, e in zip(cut, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.nulls(len(cut), batch.schema.types[0]), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int32()), pa.array(blocks, pa.binary())], names)
 
@@ -279,4 +279,4 @@ def deduplicated(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
 
 
 def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("text_class")

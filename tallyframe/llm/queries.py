@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, jaccard, mixing, packing, quality, recount, sharding, suffixes, warc, windows
+from . import forest, jaccard, mixing, oracles, packing, quality, recount, sharding, suffixes, warc, windows
 
 QUERIES = {
     "op1_capture_index": warc.op1_capture_index,
@@ -17,4 +17,8 @@ QUERIES = {
     "op7_hypergeometric_mix": mixing.op7_hypergeometric_mix,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_capture_index": oracles.CAPTURES,
+    "op3_adaptive_quality": oracles.QUALITY,
+    "op9_token_group_join": oracles.LINKS,
+}
