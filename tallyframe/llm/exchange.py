@@ -20,18 +20,25 @@ def schema(names: tuple[str, str, str]) -> str:
     return f"{names[0]} long, {names[1]} long, block binary"
 
 
-def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text (bytes) and cell of each row, partitioned by cell, and how many cells there are."""
+def dealt(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """doc_id, text (bytes), cell and columns to carry of each row, partitioned by cell, and how many cells there are."""
     many = max(cells(docs), partitions(docs))
     text = F.encode(empty_text(), "UTF-8").alias("text")
     cell = F.pmod(F.xxhash64("doc_id", F.lit("cell")), F.lit(many)).alias("cell")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, cell).repartition(many, "cell"), many
+    more = [F.col(f"`{c}`").alias(f"carried {k}") for k, c in enumerate(carry)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, cell, *more).repartition(many, "cell"), many
+
+
+def ranked(cell: pa.Table) -> list[int]:
+    """The rows of a cell in an order that every pass finds again: by doc_id, nulls last, then by text."""
+    ids, texts = cell["doc_id"].to_pylist(), cell["text"].to_pylist()
+    return sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k], texts[k]))
 
 
 def opened(cell: pa.Table) -> tuple[list[int], list[bytes]]:
     """doc_ids and texts of a cell, in an order that every pass finds again."""
-    rows = sorted(zip(cell["doc_id"].to_pylist(), cell["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0], r[1]))
-    return [LAST if d is None else d for d, _ in rows], [t for _, t in rows]
+    order, ids, texts = ranked(cell), cell["doc_id"].to_pylist(), cell["text"].to_pylist()
+    return [LAST if ids[k] is None else ids[k] for k in order], [texts[k] for k in order]
 
 
 def nothing(names: tuple[str, str, str]) -> pa.Table:
@@ -40,7 +47,9 @@ def nothing(names: tuple[str, str, str]) -> pa.Table:
 
 def blocks(names: tuple[str, str, str], to: np.ndarray, own: int, arrays: tuple[np.ndarray, ...]) -> pa.Table:
     """A row for each value of `to`, with the arrays' entries for it; the arrays are ordered by it."""
-    cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
+    if not len(to):
+        return nothing(names)
+    cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
     ends = np.append(cut[1:], len(to))
     packed = [b"".join((int(e - s).to_bytes(4, "little"), *(np.ascontiguousarray(a[s:e]).tobytes() for a in arrays))) for s, e in zip(cut, ends, strict=True)]
     return pa.Table.from_arrays([pa.array(to[cut], pa.int64()), pa.array(np.full(len(cut), own), pa.int64()), pa.array(packed, pa.binary())], list(names))
