@@ -69,20 +69,22 @@ def _hypergeometric(dice: np.random.Generator, good: int, bad: int, draw: int) -
     return int(min(good, draw, max(0, draw - bad, round(dice.normal(good * share, spread)))))
 
 
-def mix(docs: DataFrame, shards: int = 8, seed: int = 1, weights=WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 8, seed: int = 1, weights=WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, carry: str | None = None) -> DataFrame:
     """Each row of docs with size, source_size, target, taken, and draws: array of (pass, shard, position, words).
 
     Null text: size 0. A null source is a source, last in order. A source without words has target 0 and takes none.
     Repeated rows are documents of their own. Empty table: no rows. The last document a source takes may be taken in
     part, so that taken sums to the rounded target. position orders a shard's rows; it isn't gapless.
-    Columns other than doc_id, text and source are dropped.
+    Columns other than doc_id, text, source and carry are dropped.
     """
+    more = [carry] if carry else []
     rows = written(
         docs.select(
             "doc_id",
             F.col("source").cast("string").alias("source"),
             F.regexp_count(empty_text(), F.lit(WORD)).cast("long").alias("size"),
             F.xxhash64("doc_id", F.lit(seed), F.lit("rows")).alias("draw"),
+            *more,
         ),
         "mixing-rows",
     )
@@ -131,12 +133,28 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 1, weights=WEIGHTS, repeat
         lambda d: d["words"] > 0,
     )
     return (
-        rows.join(drawn, same, "left").select(rows["source"], "doc_id", "size", "source_size", "target", draws.alias("draws"))
+        rows.join(drawn, same, "left").select(rows["source"], "doc_id", "size", "source_size", "target", draws.alias("draws"), *more)
         .withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
-        .select("doc_id", "size", "source_size", "target", "taken", "draws", "source")
+        .select("doc_id", "size", "source_size", "target", "taken", "draws", "source", *more)
     )
 
 
+def mixed(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
+    """The mix of docs (documents): a row for each time a document is drawn, with all its columns.
+
+    Documents that aren't drawn go. One that is drawn in part keeps its first words, joined by spaces, and n_chars
+    follows. Rows equal in doc_id, text, language and source share the draws of one of them.
+    """
+    row = F.xxhash64("doc_id", "text", "lang", "source")
+    draws = mix(docs.withColumn("mixed row", row), shards, seed, carry="mixed row").where("taken > 0").select("mixed row", F.col("size").alias("mixed size"), F.col("draws").alias("mixed draws")).dropDuplicates(["mixed row"])
+    drawn = docs.withColumn("mixed row", row).join(draws.hint("merge"), "mixed row").withColumn("mixed draw", F.explode("mixed draws"))
+    taken = F.col("mixed draw")["words"]
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, taken.cast("int")), " ")
+    part = taken < F.col("mixed size")
+    drawn = drawn.withColumn("n_chars", F.when(part, F.length(first).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.when(part, first).otherwise(F.col("text")))
+    return drawn.select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in docs.columns])
+
+
 def _frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """Rows of sums per source as a frame, without Python on the executors."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")).alias("r")).select("r.*")
