@@ -28,9 +28,14 @@ def same(names: list[str]) -> Column:
 
 
 def key_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, nl and nr of the keys that a side has more than once: one aggregation over both sides."""
-    tagged = left.select(*keys, F.lit(1).alias("l")).unionByName(right.select(*keys, F.lit(0).alias("l")))
-    counts = tagged.groupBy(*keys).agg(F.sum("l").alias("nl"), F.sum(1 - F.col("l")).alias("nr"))
+    """keys, nl and nr, lo and ro of the keys that a side has more than once: one aggregation over both sides.
+
+    lo and ro: where, in the order of rows, a side has the key first.
+    """
+    at = F.monotonically_increasing_id()
+    none = F.lit(None).cast("long")
+    tagged = left.select(*keys, at.alias("lo"), none.alias("ro")).unionByName(right.select(*keys, none.alias("lo"), at.alias("ro")))
+    counts = tagged.groupBy(*keys).agg(F.count("lo").alias("nl"), F.count("ro").alias("nr"), F.min("lo").alias("lo"), F.min("ro").alias("ro"))
     return counts.where("nl > 1 or nr > 1")
 
 

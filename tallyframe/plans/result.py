@@ -97,6 +97,7 @@ class DiffResult:
 
     joined is the plan of the comparison, one row per pair or single row, in no order: key columns k0.., values l0.. and
     r0.., flags d0.., status (a code in display order), and nl, nr, the rows of the key on each side, where a key repeats.
+    repeats has the keys that repeat, with nl, nr and the order of their first rows, lo and ro.
     Counts run it once. numbered() adds row ids.
     """
 
@@ -159,8 +160,7 @@ class DiffResult:
         keys = [x.left for x in self.layout if x.info.kind == "key"]
         if not self.has_duplicates:
             return self.joined.select(*keys, F.lit(0).cast("long"), F.lit(0).cast("long")).limit(0).toDF(*names)
-        rows = self.numbered().where(self.repeated()).groupBy(*keys, "nl", "nr").agg(F.min("row_id").alias("first"))
-        return rows.orderBy("first").select(*keys, "nl", "nr").toDF(*names)
+        return self._repeats.orderBy(F.col("lo").asc_nulls_last(), "ro").select(*keys, "nl", "nr").toDF(*names)
 
     def side_label(self, name: str, side: str) -> str:
         return f"{name} [{self.left_name if side == 'l' else self.right_name}]"

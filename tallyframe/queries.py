@@ -86,7 +86,7 @@ def _view(name: str, key, make: Callable[[DiffResult], Query], **options):
 
 
 def _place(result: DiffResult, column: str) -> int:
-    return next(i for i, c in enumerate(result.columns) if c.name == column)
+    return next(i for i, x in enumerate(result.layout) if x.info.name == column)
 
 
 def _filter(name: str, key, column: str, op: str, a: str = "", b: str = ""):
