@@ -6,12 +6,14 @@ be similar, with an upper bound of what they share. Pairs whose bound is too low
 families. Within a family, similar classes form groups, the matrix holds each group's union of shingles, a class's
 overlap with the union bounds its overlap with every member, and only groups that can hold a similar one are opened.
 Shingles in more than MOST_PAIRED classes aren't paired: a class whose first shingles are mostly of that kind joins the
-family of the others that have them, which is exact again as families are searched whole.
+family of the others that have them, which is exact again as families are searched whole. A family of more than
+MOST_IN_TASK classes is cut into blocks, and every two of its blocks are searched together, each pair of blocks in a
+task of its own; what they link is joined after.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,8 @@ from .shingles import hashed_words, shingle_hashes
 SIZE, PERCENT = 5, 80
 #: Classes that a first shingle may have for its pairs to be listed.
 MOST_PAIRED = 48
-#: Members a group may have.
-MOST_IN_GROUP = 128
+#: Members a group may have; classes that a task searches, about.
+MOST_IN_GROUP, MOST_IN_TASK = 128, 8192
 _ROW = "kind int, a long, b long, na int, nb int, c int, doc_id {id}"
 
 
@@ -95,7 +97,10 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _pair(names: list[str], id_type: pa.DataType, percent: int):
-    """The blocks of a bucket to pairs (kind 1) and postings that too many classes share (kind 2); profiles pass (kind 0)."""
+    """The blocks of a bucket to pairs (kind 1); profiles pass (kind 0).
+
+    Of shingles that too many classes share: each class, the first of those that share one, and how many (kind 2).
+    """
 
     def rows(kind: int, a, b, na, nb, c) -> pa.Table:
         n = len(a)
@@ -130,8 +135,10 @@ def _pair(names: list[str], id_type: pa.DataType, percent: int):
         a, b, often = a[able], b[able], often[able]
         out = [rows(1, keys[a], keys[b], sizes[a], sizes[b], often)]
         hot = np.repeat(many > MOST_PAIRED, many)
-        who = owner[hot]
-        out.append(rows(2, keys[who], token[hot].view(np.int64), sizes[who], np.zeros(len(who)), np.ones(len(who))))
+        first = np.repeat(owner[cut], many)[hot]
+        held, often = np.unique(owner[hot] * len(keys) + first, return_counts=True)
+        who, first = np.divmod(held, len(keys))
+        out.append(rows(2, keys[who], keys[first], sizes[who], sizes[first], often))
         return pa.concat_tables(out)
 
     return run
@@ -140,7 +147,7 @@ def _pair(names: list[str], id_type: pa.DataType, percent: int):
 def families(posted: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, root: classes that may be similar to another, and the family that holds all that may be similar to it."""
     hot = posted.where("kind = 2")
-    hots = hot.groupBy("a").agg(F.count("*").alias("h"), F.first("na").alias("n"))
+    hots = hot.groupBy("a").agg(F.sum("c").alias("h"), F.first("na").alias("n"))
     first = lambda n: F.least(n, n - F.ceil(n * percent / F.lit(100)) + 1 + F.floor(n / 10))
     rest = lambda n: n - first(n)
     pairs = posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -150,9 +157,7 @@ def families(posted: DataFrame, percent: int = PERCENT) -> DataFrame:
     unseen = F.greatest(rest(F.col("na")), rest(F.col("nb"))) + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
     pairs = pairs.where(F.col("c") + unseen >= least).select("a", "b")
     bound = hots.where(F.col("h") > F.floor(F.col("n") / 10)).select("a")
-    bound = hot.join(bound, "a").select("a", F.col("b").alias("token"))
-    star = bound.groupBy("token").agg(F.min("a").alias("b"))
-    star = bound.join(star, "token").where(F.col("a") != F.col("b")).select("a", "b")
+    star = hot.join(bound, "a").where(F.col("a") != F.col("b")).select("a", "b")
     return components(pairs.union(star))
 
 
@@ -221,28 +226,33 @@ def joined(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     return [done.root(k) for k in range(len(rows))]
 
 
-def _solve(size: int, percent: int, id_type: pa.DataType):
-    """A family's texts to the class and the least document that links reach."""
+def _solve(size: int, percent: int):
+    """The texts of a task to a link from each class to the first one of those that it reaches there."""
 
     def run(key: tuple, family: pa.Table) -> pa.Table:
-        texts, ids, asked = (family[c].to_pylist() for c in ("text", "doc_id", "key"))
-        found: dict[int, tuple] = {}
+        texts, asked = family["text"].to_pylist(), family["key"].to_pylist()
+        found: dict[int, np.ndarray] = {}
         for k, cls, h in _classes([x.lower() for x in texts], size):
             if cls == asked[k]:
-                found.setdefault(cls, (ids[k], h))
-        classes = sorted(found)
-        roots = joined([found[c][1] for c in classes], percent) if classes else []
-        least: dict[int, object] = {}
-        for c, r in zip(classes, roots, strict=True):
-            d = found[c][0]
-            if d is not None and (least.get(r) is None or d < least[r]):
-                least[r] = d
-        many = Counter(roots)
-        return pa.Table.from_arrays([pa.array(classes, pa.int64()), pa.array([least.get(r) for r in roots], id_type), pa.array([many[r] for r in roots], pa.int64())], ["key", "least", "classes"])
+                found.setdefault(cls, h)
+        classes = np.array(sorted(found), np.int64)
+        roots = joined([found[c] for c in classes.tolist()], percent) if len(classes) else []
+        whole = pa.array(np.full(len(classes), key[1].as_py() == 0), pa.bool_())
+        return pa.Table.from_arrays([pa.array(classes), pa.array(classes[roots] if len(classes) else classes), whole], ["a", "b", "whole"])
 
     return run
 
 
+def _tasks(asked: DataFrame) -> DataFrame:
+    """asked with a row for each task of a class: its family, and which blocks, 0 and 0 for a family in one."""
+    sizes = asked.groupBy("root").agg(F.ceil(F.count("*") * 2 / MOST_IN_TASK).cast("int").alias("blocks"))
+    own, other = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.col("other")
+    rows = asked.join(sizes, "root").withColumn("own", F.when(F.col("blocks") <= 2, 0).otherwise(own))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    number = F.when(F.col("blocks") <= 2, 0).otherwise(1 + F.least("own", other) * F.col("blocks") + F.greatest("own", other))
+    return rows.withColumn("task", number).select("key", F.col("first").alias("id"), "root", "task")
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and text_class of each row of docs.
 
@@ -264,9 +274,13 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     first = profile.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     roots = families(posted, percent).select(F.col("node").alias("key"), "root")
     asked = written(first.join(roots, "key"), "jaccard-families")
-    near = texts.join(asked.withColumnRenamed("first", "id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "key", "doc_id", "text")
-    solved = near.groupBy("root").applyInArrow(_solve(size, percent, id_type), f"key long, least {kind}, classes long")
-    known = first.join(written(solved, "jaccard-solved"), "key", "left").select("key", F.coalesce("least", "first").alias("component"))
+    near = texts.join(_tasks(asked).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "task", "key", "text")
+    links = written(near.groupBy("root", "task").applyInArrow(_solve(size, percent), "a long, b long, whole boolean"), "jaccard-links")
+    apart = components(links.where("not whole").select("a", "b"))
+    found = links.where("whole").select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(apart.select(F.col("node").alias("key"), "root"))
+    linked = first.join(found, "key")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    known = first.join(linked.join(least, "root").select("key", "least"), "key", "left").select("key", F.coalesce("least", "first").alias("component"))
     return profile.join(known, "key", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("key").alias("text_class")
     )

@@ -220,9 +220,10 @@ def slow_components(rows, size=5):
     return {d: (len(sets[k]), least[root(k)]) for k, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("paired", [48, 2])
-def test_links(docs, texts, paired, monkeypatch):
+@pytest.mark.parametrize(("paired", "task"), [(48, 8192), (2, 8192), (48, 4), (2, 2)])
+def test_links(docs, texts, paired, task, monkeypatch):
     monkeypatch.setattr(jaccard, "MOST_PAIRED", paired)
+    monkeypatch.setattr(jaccard, "MOST_IN_TASK", task)
     got = by_id(jaccard.join(docs))
     want = slow_components(list(enumerate(texts)))
     assert {k: {(r["n_shingles"], r["component_id"]) for r in v} for k, v in got.items()} == {k: {v} for k, v in want.items()}
