@@ -24,6 +24,7 @@ def session() -> SparkSession:
     conf = {
         "spark.sql.shuffle.partitions": CPUS if CPUS.isdigit() else "8",
         "spark.driver.memory": "16g",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",  # partitions that small are hashed, not sorted
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",

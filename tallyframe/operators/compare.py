@@ -84,11 +84,10 @@ class _Matcher:
         self.key_names = [f"k{i}" for i in range(len(keys))]
         self.repeats = None
         if duplicates != "raise":
-            plain = [self._side(s, None) for s in (0, 1)]
-            repeats = pairing.key_counts(*plain, self.key_names)
             # the one early look at the data: whether any key repeats decides the plan
-            if any(not rows.groupBy(*self.key_names).agg(F.count("*").alias("n")).where("n > 1").isEmpty() for rows in plain):
-                self.repeats = repeats.persist()
+            plain = [self._side(s, None).select(*self.key_names) for s in (0, 1)]
+            if pairing.any_repeats(*plain, self.key_names):
+                self.repeats = pairing.key_counts(*plain, self.key_names).persist()
 
     def _side(self, side: int, ordinal: str | None, frame: DataFrame | None = None) -> DataFrame:
         """Keys, values, presence and order columns of a side."""

@@ -27,6 +27,12 @@ def same(names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in names])
 
 
+def any_repeats(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:
+    """Whether a side has a key more than once: one aggregation of nothing but keys."""
+    tagged = left.withColumn("side", F.lit(0).cast("byte")).unionByName(right.withColumn("side", F.lit(1).cast("byte")))
+    return not tagged.groupBy(*keys, "side").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def key_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, nl and nr, lo and ro of the keys that a side has more than once: one aggregation over both sides.
 
