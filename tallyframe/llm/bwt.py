@@ -6,7 +6,13 @@ import numpy as np
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].reshape(keys.shape)
+    """The rank of each key among the distinct ones."""
+    flat = keys.ravel()
+    order = np.argsort(flat)
+    inside = flat[order]
+    rank = np.empty(len(flat), np.int64)
+    rank[order] = np.cumsum(np.append(False, inside[1:] != inside[:-1]))
+    return rank.reshape(keys.shape)
 
 
 def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
@@ -38,18 +44,22 @@ def shared(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, least: int)
     row, col = row[order], col[order]
     first = symbols[row, col]
     before = np.where(col > start[row], symbols[row, np.maximum(col - 1, 0)], 0).astype(np.uint16)
-    back = np.argsort(before, kind="stable")  # place of the suffix one symbol shorter
+    back = np.argsort(before, kind="stable").astype(np.int32)  # place of the suffix one symbol shorter
     border = (first == 0) | np.append(True, first[1:] != first[:-1])
     new, open_ = np.flatnonzero(border), np.flatnonzero(~border)
+    low, high = back[open_ - 1], back[open_]  # between these a border must lie to reach an open place
+    mark = np.zeros(len(first), np.uint8)
     for _ in range(1, least):
         if not len(new) or not len(open_):
             break
-        mark = np.zeros(len(first), np.int32)
         mark[new] = 1
         upto = np.cumsum(mark, dtype=np.int32)
-        hit = upto[back[open_]] != upto[back[open_ - 1]]
-        new, open_ = open_[hit], open_[~hit]
+        mark[new] = 0
+        reached = upto[high] != upto[low]
+        new = open_[reached]
         border[new] = True
+        rest = ~reached
+        open_, low, high = open_[rest], low[rest], high[rest]
     kind = np.cumsum(border)
     long = end[row] - col >= least
     return row[long], col[long], kind[long]
