@@ -67,12 +67,14 @@ def compare(
     layout += [Layout(ColumnInfo(c, "left_only", types[0][c], None), f"l{n + i}", None, None) for i, c in enumerate(only[0])]
     layout += [Layout(ColumnInfo(c, "right_only", None, types[1][c]), None, f"r{n + i}", None) for i, c in enumerate(only[1])]
     matcher = _Matcher(sides, types, keys, compared, only, casts, order, duplicates)
-    try:
-        joined = matcher.joined(numbered=False)
-    except AnalysisException as error:
-        raise ValueError(f"Comparison failed: {error}") from error
     mode = "match" if duplicates == "raise" else duplicates
-    return DiffResult(joined, layout, number=lambda: matcher.joined(numbered=True), left_name=left_name, right_name=right_name, ignored=ignored, repeats=matcher.repeats, duplicates=mode)
+    result = DiffResult(matcher.joined, layout, spark=sides[0].sparkSession, left_name=left_name, right_name=right_name, ignored=ignored, repeats=matcher.repeats, duplicates=mode)
+    if matcher.repeats is None:
+        try:
+            result.joined  # noqa: B018 - errors of the plan show here
+        except AnalysisException as error:
+            raise ValueError(f"Comparison failed: {error}") from error
+    return result
 
 
 class _Matcher:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from enum import StrEnum
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,14 +95,14 @@ def status_name(code: Column) -> Column:
 class DiffResult:
     """Two tables matched by key.
 
-    joined is the plan of the comparison, one row per pair or single row, in no order: key columns k0.., values l0.. and
+    joined is the plan of the comparison, made when first asked for: one row per pair or single row, in no order: key columns k0.., values l0.. and
     r0.., flags d0.., status (a code in display order), and nl, nr, the rows of the key on each side, where a key repeats.
     repeats has the keys that repeat, with nl, nr and the order of their first rows, lo and ro.
     Counts run it once. numbered() adds row ids.
     """
 
-    def __init__(self, joined: DataFrame, layout: Sequence[Layout], *, number, left_name: str, right_name: str, ignored: Sequence[str], repeats: DataFrame | None, duplicates: str):
-        self.joined, self.layout, self._number = joined, tuple(layout), number
+    def __init__(self, plan: Callable[[bool], DataFrame], layout: Sequence[Layout], *, spark: SparkSession, left_name: str, right_name: str, ignored: Sequence[str], repeats: DataFrame | None, duplicates: str):
+        self._plan, self.layout, self.spark = plan, tuple(layout), spark
         self.left_name, self.right_name, self.ignored = left_name, right_name, tuple(ignored)
         self._repeats, self._mode = repeats, duplicates
 
@@ -110,6 +110,10 @@ class DiffResult:
         s = self.summary
         return f"DiffResult(keys={list(self.keys)}, " + ", ".join(f"{n}={getattr(s, n)}" for n in ("equal", "mismatch", "missing_left", "missing_right")) + ")"
 
+    @cached_property
+    def joined(self) -> DataFrame:
+        return self._plan(False)
+
     @cached_property
     def _counts(self) -> dict[str, int]:
         by_status = [F.count_if(F.col("status") == k).alias(s.value) for k, s in enumerate(STATUS_ORDER)]
@@ -167,7 +171,7 @@ class DiffResult:
 
     @cached_property
     def _numbered(self) -> DataFrame:
-        return self._number().persist()
+        return self._plan(True).persist()
 
     def numbered(self) -> DataFrame:
         """joined with row_id: rows with a left side in its order from 0, then the others in the right side's. Persisted."""
@@ -213,8 +217,7 @@ class DiffResult:
         total = self.summary.total
         if outside := [i for i in ids if not 0 <= i < total]:
             raise IndexError(f"row ids outside 0..{total - 1}: {outside[:3]}")
-        spark = self.joined.sparkSession
-        asked = spark.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "at long, row_id long")
+        asked = self.spark.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "at long, row_id long")
         return self.numbered().join(asked, "row_id")
 
     def mismatches(self) -> DataFrame:
@@ -238,4 +241,4 @@ class DiffResult:
             if c.kind == "compared"
         ]
         rows.sort(key=lambda r: -r[3])
-        return self.joined.sparkSession.createDataFrame(rows, "column string, dtype_left string, dtype_right string, mismatches long, equal_share double, mismatch_share double")
+        return self.spark.createDataFrame(rows, "column string, dtype_left string, dtype_right string, mismatches long, equal_share double, mismatch_share double")

@@ -46,6 +46,14 @@ SIDES = {
         """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_suppkey % 10 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
            l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM {lineitem} WHERE l_partkey % 50 <> 2""",
     ),
+    "flags": (
+        "SELECT o_orderkey, o_orderstatus = 'F' AS done, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice > 100000 END AS large FROM {orders} WHERE o_orderkey % 10 <> 1",
+        "SELECT o_orderkey, o_orderstatus <> 'O' AS done, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice > 100000 END AS large FROM {orders} WHERE o_orderkey % 10 <> 2",
+    ),
+    "nations": (
+        "SELECT n_nationkey, n_name, n_regionkey FROM {nation} WHERE n_nationkey <> 3",
+        "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM {nation} WHERE n_nationkey <> 4",
+    ),
     "documents": (
         "SELECT doc_id, text, lang FROM {documents}",
         """SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN text || ' ' WHEN doc_id % 10 = 2 THEN replace(text, ' ', '  ') WHEN doc_id % 10 = 3 THEN text || ' end'
@@ -74,7 +82,7 @@ def _flat(frame: DataFrame) -> DataFrame:
 def _summary(result: DiffResult) -> DataFrame:
     s = result.summary
     names = ["equal", "mismatch", "missing_left", "missing_right", "left_rows", "right_rows", "duplicate_keys_left", "duplicate_keys_right"]
-    return result.joined.sparkSession.createDataFrame([tuple(getattr(s, n) for n in names)], ", ".join(f"`{n}` long" for n in names))
+    return result.spark.createDataFrame([tuple(getattr(s, n) for n in names)], ", ".join(f"`{n}` long" for n in names))
 
 
 def _view(name: str, key, make: Callable[[DiffResult], Query], **options):
@@ -106,6 +114,26 @@ def _sorted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "place long, event_id long, status string, value double")
 
 
+def _other_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pandas frame against an Arrow table, of a table of 25 rows."""
+    left, right = sides(spark, sf_dir, "nations")
+    return _flat(compare(left.toPandas(), right.toArrow(), "n_nationkey", spark=spark).frame())
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys and statuses in the lines of an export."""
+    result = _of(spark, sf_dir, "events", "event_id")
+    lines = ViewEngine(result).export_csv(Query(diff_column=_place(result, "event_type"))).decode().splitlines()
+    rows = [(int(x.split(",")[0]), x.split(",")[1]) for x in lines[1:]]
+    return spark.createDataFrame(rows, "event_id long, status string")
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values differ between paired rows, for each number of differences."""
+    r = _of(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"])
+    return r.frame("mismatch").groupBy(F.size("differing").alias("differing")).count()
+
+
 def _text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _of(spark, sf_dir, "documents", "doc_id").frame("mismatch").select("doc_id", F.col("text [left]").alias("a"), F.col("text [right]").alias("b"))
     return text_diffs(rows, ["doc_id"], "a", "b").withColumn("marked", F.size(F.filter("marked", lambda m: m)))
@@ -140,6 +168,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dup_keys_lineitem": lambda s, d: _of(s, d, "lineitem", _LINES).duplicates.withColumnsRenamed({"left": "n_left", "right": "n_right"}),
     "dup_number_order_by": lambda s, d: _of(s, d, "lineitem", _LINES, duplicates="number", order_by=["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]).frame().groupBy(*_LINES, "status").count(),
     "dup_match_status_counts": _status_counts,
+    "dup_similar_pairs": _similar,
+    "source_pandas_arrow": _other_frames,
+    "view_export_csv": _csv,
+    "view_filter_true": _filter("flags", "o_orderkey", "done", "true"),
+    "view_filter_false": _filter("flags", "o_orderkey", "large", "false"),
+    "view_filter_boolean_null": _filter("flags", "o_orderkey", "large", "is_null"),
+    "view_combined": _view("events", "event_id", lambda r: Query(statuses=frozenset({"mismatch", "missing_right"}), search="click", filters=(ColumnFilter(_place(r, "value"), "between", "", "50"), ColumnFilter(_place(r, "user_id"), "between", "10", "")))),
     "view_status": _view(*_ORDERS, lambda r: Query(statuses=frozenset({"mismatch", "missing_left"}))),
     "view_search_ascii": _view(*_ORDERS, lambda r: Query(search="urgENT")),
     "view_search_unicode": _view("documents", "doc_id", lambda r: Query(search="ÈÇ")),
@@ -236,6 +271,14 @@ ORACLE: dict[str, str] = {
     "dup_keys_lineitem": f"{_PER_KEY} SELECT l_orderkey, l_linenumber, nl AS n_left, nr AS n_right FROM k WHERE nl > 1 OR nr > 1",
     "dup_number_order_by": f"{_numbered('l_partkey, l_suppkey, l_extendedprice, l_shipdate', 'l_orderkey, l_linenumber', _OTHERS)} SELECT l_orderkey, l_linenumber, status, count(*) AS count FROM j GROUP BY ALL",
     "dup_match_status_counts": f"{_PER_KEY} SELECT l_orderkey, l_linenumber, e AS equal, least(nl, nr) - e AS mismatch, greatest(nr - nl, 0) AS missing_left, greatest(nl - nr, 0) AS missing_right FROM k",
+    "source_pandas_arrow": f"{_joined('nations', 'n_nationkey', ['n_name', 'n_regionkey'])} {_ALL}",
+    "view_export_csv": f"{_JE} SELECT event_id, status FROM j WHERE pl AND pr AND event_type_left IS DISTINCT FROM event_type_right",
+    "view_filter_true": _sides_where("done_{0}", _joined("flags", "o_orderkey", ["done", "large"])),
+    "view_filter_false": _sides_where("NOT large_{0}", _joined("flags", "o_orderkey", ["done", "large"])),
+    "view_filter_boolean_null": _sides_where("large_{0} IS NULL", _joined("flags", "o_orderkey", ["done", "large"])),
+    "view_combined": f"""{_JE} {_ALL} WHERE status IN ('mismatch', 'missing_right')
+      AND (coalesce(contains(lower(event_type_left), 'click'), FALSE) OR coalesce(contains(lower(event_type_right), 'click'), FALSE))
+      AND (coalesce(pl AND value_left <= 50, FALSE) OR coalesce(pr AND value_right <= 50, FALSE)) AND (coalesce(pl AND user_id_left >= 10, FALSE) OR coalesce(pr AND user_id_right >= 10, FALSE))""",
     "view_status": f"{_JO} {_ALL} WHERE status IN ('mismatch', 'missing_left')",
     "view_search_ascii": f"{_JO} {_ALL} WHERE coalesce(contains(lower(o_orderpriority_left), 'urgent'), FALSE) OR coalesce(contains(lower(o_orderpriority_right), 'urgent'), FALSE)",
     "view_search_unicode": f"{_JD} {_ALL} WHERE coalesce(contains(lower(text_left), 'èç'), FALSE) OR coalesce(contains(lower(text_right), 'èç'), FALSE)",
