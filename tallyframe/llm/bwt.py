@@ -15,18 +15,22 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return rank.reshape(keys.shape)
 
 
-def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
-    """The rank of every suffix of every row. symbols: 0 after a row's end, else 1 to 256; equal suffixes by row."""
+def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of every suffix of every row by its first symbols, more than depth of them; 0 after a row's end, else 1 to 256.
+
+    Suffixes that share more than depth symbols may stand in any order: no border of depth or less lies between them,
+    and what precedes them shares more than depth symbols with what precedes any other of them by the same symbol.
+    """
     rows, width = symbols.shape
     key = np.zeros((rows, width), np.int64)
     for k in range(7):
         key[:, : width - k] |= symbols[:, k:].astype(np.int64) << (9 * (6 - k))
     rank, span = _dense(key), 7
-    while span < width:
+    while span <= depth + 1 and span < width:
         key = rank * (int(rank.max()) + 2)
         key[:, : width - span] += rank[:, span:] + 1
         rank, span = _dense(key), 2 * span
-    return rank * rows + np.arange(rows)[:, None]
+    return rank
 
 
 def shared(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,8 +43,8 @@ def shared(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, least: int)
     width = symbols.shape[1]
     col = np.arange(width)
     row, col = np.nonzero((col >= start[:, None]) & (col <= end[:, None]))  # the end itself is a suffix: the empty one
-    rank = suffix_ranks(symbols)[row, col]
-    order = np.argsort(rank)
+    rank = suffix_ranks(symbols, least)[row, col]
+    order = np.argsort(rank.astype(np.int32))
     row, col = row[order], col[order]
     first = symbols[row, col]
     before = np.where(col > start[row], symbols[row, np.maximum(col - 1, 0)], 0).astype(np.uint16)
@@ -48,12 +52,12 @@ def shared(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, least: int)
     border = (first == 0) | np.append(True, first[1:] != first[:-1])
     new, open_ = np.flatnonzero(border), np.flatnonzero(~border)
     low, high = back[open_ - 1], back[open_]  # between these a border must lie to reach an open place
-    mark = np.zeros(len(first), np.uint8)
+    mark, upto = np.zeros(len(first), np.int32), np.empty(len(first), np.int32)
     for _ in range(1, least):
         if not len(new) or not len(open_):
             break
         mark[new] = 1
-        upto = np.cumsum(mark, dtype=np.int32)
+        np.cumsum(mark, out=upto)
         mark[new] = 0
         reached = upto[high] != upto[low]
         new = open_[reached]
