@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -160,14 +161,25 @@ def unified_diff(a: str, b: str) -> list[DiffLine] | None:
 
 
 def _paired(gone: list[DiffLine], new: list[DiffLine]) -> list[DiffLine]:
-    """Removed lines, then added ones; each removed line marked against the most alike added line after the last pair."""
+    """Removed lines, then added ones; each removed line marked against the most alike added line after the last pair.
+
+    The words that two lines share, in any order, bound their likeness; pairs that can't win aren't diffed.
+    """
+    words = [Counter(w for w in _TOKEN.findall(x.text) if _WORDLY.search(w)) for x in gone + new]
     first = 0
     for k, line in enumerate(gone):
-        tried = [(d.likeness, -at, d) for at in range(first, len(new)) if (d := word_diff(line.text, new[at].text)) and d.likeness >= LEAST_LIKE]
-        if tried:
-            _, at, best = max(tried, key=lambda t: t[:2])
-            gone[k], new[-at] = replace(line, marked=best.left), replace(new[-at], marked=best.right)
-            first = 1 - at
+        best, most, where = None, 0.0, 0
+        for at in range(first, len(new)):
+            other = new[at].text
+            bound = sum(n * len(w) for w, n in (words[k] & words[len(gone) + at]).items()) / max(len(line.text), len(other), 1)
+            if bound < LEAST_LIKE or bound <= most:
+                continue
+            found = word_diff(line.text, other)
+            if found and found.likeness >= LEAST_LIKE and found.likeness > most:
+                best, most, where = found, found.likeness, at
+        if best:
+            gone[k], new[where] = replace(line, marked=best.left), replace(new[where], marked=best.right)
+            first = where + 1
     return gone + new
 
 
