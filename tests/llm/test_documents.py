@@ -337,6 +337,46 @@ def test_tree_nodes_are_the_minima_of_all_long_ranges():
                 assert own and all(values[m] >> np.uint64(28) == values[s : e + 1].min() >> np.uint64(28) for _, m, _ in own)
 
 
+def _slow_alike(mine, other, span, percent):
+    """Matches of `mine` that an interval of at least `span` places holds which is similar enough to one of `other`."""
+    out = set()
+    for c in range(len(other)):
+        for d in range(c + 1, len(other) + 1):
+            peer = set(other[c:d])
+            for a in range(len(mine)):
+                for b in range(a + span, len(mine) + 1):
+                    own = set(mine[a:b])
+                    if 100 * len(own & peer) >= percent * len(own | peer):
+                        out |= {k for k in range(a, b) if mine[k] in peer}
+    return out
+
+
+def _found(mine, other, span, percent=80):
+    mine, other = np.array(mine, np.uint64), np.array(other, np.uint64)
+    out = windows.passages(mine, other, np.ones(len(mine), bool), np.ones(len(other), bool), span, percent)
+    assert all(b - a >= span and s >= percent / 100 for a, b, s in out)
+    return {k for a, b, _ in out for k in range(a, b)}
+
+
+def test_passages_with_edits_at_ends_and_in_clusters():
+    dice = np.random.Generator(np.random.PCG64(9))
+    for _ in range(25):
+        base = list(range(100, 116 + int(dice.integers(0, 4))))
+        edited = list(base)
+        for k in range(int(dice.integers(0, 5))):
+            at = int(dice.integers(0, len(edited)))
+            edited[at : at + int(dice.integers(0, 2))] = [500 + k] * int(dice.integers(0, 2))
+        other = [*range(900, 902), *edited, 910]
+        assert _found(base, other, 8) >= _slow_alike(base, other, 8, 80)
+    mine = list(range(1, 97))
+    # the second word of 50 differs: 44 of 48 shingles
+    assert len(_found(mine[:46], [201, 202, *mine[2:46]], 46)) == 46
+    # a change every 10 words over the first half, two in the second: only the second is similar enough
+    other = [x if k % 10 > 4 else 1000 + x for k, x in enumerate(range(1, 101))] + [x if (k - 33) % 34 > 4 else 1000 + x for k, x in enumerate(range(101, 201))]
+    got = _found(list(range(1, 201)), other, 46)
+    assert {k for k in range(100, 200) if other[k] == k + 1} <= got
+
+
 def test_passages_are_cut_from_later_documents(docs, texts):
     got = by_id(windows.dedup(docs))
     assert sum(map(len, got.values())) == len(texts) + 2
