@@ -397,6 +397,25 @@ def test_passages_are_cut_from_later_documents(docs, texts):
     assert left[40][0]["cell"] == "clash" and left[40][0]["n_chars"] == len(left[40][0]["text"])
 
 
+def test_passages_whose_pieces_earlier_documents_hold(spark):
+    import random
+
+    dice = random.Random(3)
+    clean = lambda n: [f"u{dice.randrange(10**9)}" for _ in range(n)]
+    early, late = [], []
+    for _ in range(20):
+        passage = clean(60)
+        for k in range(0, 60, 10):  # documents with a piece each, no passage
+            early.append([*clean(60), *passage[k : k + 14], *clean(60)])
+        late.append((passage, [*clean(50), *passage, *clean(50)], [*clean(50), *passage, *clean(50)]))
+    rows = [(k, " ".join(t)) for k, t in enumerate([*early, *(b for _, b, _ in late), *(c for _, _, c in late)])]
+    got = {r["doc_id"]: r for r in windows.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k]["n_removed"] == 0 for k in range(140))
+    for k, (passage, _, c) in enumerate(late):
+        assert got[140 + k]["n_removed"] == 60 and got[140 + k]["earlier_doc_ids"] == [120 + k]
+        assert got[140 + k]["kept"].split() == " ".join(c[:50] + c[110:]).encode().split()
+
+
 # ---- every operator ------------------------------------------------------------------------------------------------
 
 
