@@ -1,6 +1,7 @@
 """Operators on documents, against brute force on a small table with odd cases."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -397,6 +398,11 @@ def test_passages_are_cut_from_later_documents(docs, texts):
     assert left[40][0]["cell"] == "clash" and left[40][0]["n_chars"] == len(left[40][0]["text"])
 
 
+def test_enough_functions_agree_on_passages_as_similar_as_asked():
+    n, like = windows.HASHES, windows.PERCENT / 100
+    assert sum(math.comb(n, k) * like**k * (1 - like) ** (n - k) for k in range(windows.AGREE, n + 1)) >= 0.98
+
+
 def test_passages_whose_pieces_earlier_documents_hold(spark):
     import random
 
