@@ -142,14 +142,14 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 1, weights=WEIGHTS, repeat
 def mixed(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
     """The mix of docs (documents): a row for each time a document is drawn, with all its columns.
 
-    Documents that aren't drawn go. One that is drawn in part keeps its first words, joined by spaces, and n_chars
+    Documents that aren't drawn go. One that is drawn in part keeps its text up to the last word drawn, and n_chars
     follows. Rows equal in doc_id, text, language and source share the draws of one of them.
     """
     row = F.xxhash64("doc_id", "text", "lang", "source")
     draws = mix(docs.withColumn("mixed row", row), shards, seed, carry="mixed row").where("taken > 0").select("mixed row", F.col("size").alias("mixed size"), F.col("draws").alias("mixed draws")).dropDuplicates(["mixed row"])
     drawn = docs.withColumn("mixed row", row).join(draws.hint("merge"), "mixed row").withColumn("mixed draw", F.explode("mixed draws"))
     taken = F.col("mixed draw")["words"]
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, taken.cast("int")), " ")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})")), 1, taken.cast("int")), "")
     part = taken < F.col("mixed size")
     drawn = drawn.withColumn("n_chars", F.when(part, F.length(first).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.when(part, first).otherwise(F.col("text")))
     return drawn.select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in docs.columns])

@@ -195,6 +195,13 @@ def test_mixed_rows(docs):
     assert got == Counter({k: r["taken"] for k, r in taken.items() if r["taken"]})
 
 
+def test_cut_documents_keep_their_lines(spark):
+    text = "\n".join(f"a{k}  b{k}\tc" for k in range(400))
+    rows = spark.createDataFrame([(k, text, "en", s, len(text)) for k, s in enumerate("abc")], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["text"] for r in mixing.mixed(rows).collect()]
+    assert all(text.startswith(t) for t in got) and any(t != text for t in got)
+
+
 # ---- Jaccard join --------------------------------------------------------------------------------------------------
 
 
