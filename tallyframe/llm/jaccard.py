@@ -286,10 +286,42 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     )
 
 
+def _classed(docs: DataFrame, size: int) -> DataFrame:
+    """docs with the class of each row's text, as join() has it."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                keys = [key for _, key, _ in _classes([x.as_py().lower() for x in batch.column(len(columns))], size)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.int64())], [*columns, "class"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.withColumn("class", F.encode(empty_text(), "UTF-8")).mapInArrow(run, f"{kinds}, class long")
+
+
 def deduplicated(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose document is the least of its component, with all their columns."""
-    gone = join(docs, size, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone id")), "left_anti")
+    """The rows of docs whose text is that of the least document of its component, with all their columns.
+
+    Where a doc_id is null or has several texts, each text is a document of its own. Of rows of equal words that only
+    null doc_ids have, one stays; blank ones all do.
+    """
+    linked = join(docs, size, percent).withColumnRenamed("doc_id", "gone id")
+    far = ~F.col("gone id").eqNullSafe(F.col("component_id"))
+    texts = linked.groupBy("gone id").agg(F.min("text_class").alias("least"), F.max("text_class").alias("most"), F.max(far).alias("any"), F.min(far).alias("all"))
+    # ids of one text, or all of whose texts go, are settled by the id; texts are read again for others only
+    mixed = F.col("gone id").isNull() | (F.col("least") != F.col("most")) & F.col("any") & ~F.col("all")
+    by_id = texts.where(~mixed & F.col("any")).select("gone id")
+    rest = docs.join(by_id, F.col("doc_id") == F.col("gone id"), "left_anti")
+    several = texts.where(mixed).select("gone id")
+    sure = rest.join(several, F.col("doc_id").eqNullSafe(F.col("gone id")), "left_anti")
+    unsure = _classed(rest.join(several, F.col("doc_id").eqNullSafe(F.col("gone id")), "left_semi"), size)
+    gone = linked.where(far).select("gone id", F.col("text_class").alias("gone class")).distinct()
+    unsure = unsure.join(gone, F.col("doc_id").eqNullSafe(F.col("gone id")) & (F.col("class") == F.col("gone class")), "left_anti")
+    blank = F.trim(F.regexp_replace(empty_text(), r"[\x20\x09-\x0D]+", "")) == ""
+    one = unsure.where(F.col("doc_id").isNull() & ~blank).dropDuplicates(["class"])
+    return sure.unionByName(unsure.where(F.col("doc_id").isNotNull() | blank).drop("class")).unionByName(one.drop("class"))
 
 
 def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,12 @@ def test_null_doc_ids(spark):
     assert got == sorted([(None, 5), (None, 5), (5, 5), (None, None)], key=repr)
 
 
+def test_only_rows_of_a_linked_text_go(spark):
+    rows = [(5, "a b c d e f"), (None, "a b c d e f"), (None, "words that nobody else has here"), (7, "a B c d e f"), (7, "more words that only this row has"), (None, "two rows without any id at all"), (None, "two rows without any id at all")]
+    got = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+
+
 # ---- suffix dedup --------------------------------------------------------------------------------------------------
 
 
