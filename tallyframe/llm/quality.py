@@ -26,7 +26,7 @@ MEASURES = {
     "word_length": ("word_chars * 100 div n_words", 150, True),
     "symbols": ("n_symbols * 10000 div n_words", 500, False),
     "dup_lines": ("n_dup_lines * 10000 div n_words", 500, False),
-    "repeats": ("n_repeat_words * 10000 div n_words", 4500, False),
+    "repeats": ("n_repeat_words * 10000 div n_words", 500, False),
 }
 #: Salt against groups that hold a large share of the documents.
 SALT = 32

@@ -95,6 +95,17 @@ def test_fences_follow_their_group(spark):
     assert all(got[k] for k in range(300)) and not got[300] and not got[301] and got[302]
 
 
+def test_repeated_words_follow_their_group(spark):
+    import random
+
+    dice = random.Random(5)
+    clean = lambda n: " ".join(f"w{dice.randrange(10**9)}" for _ in range(n))
+    rows = [(k, clean(100), "en", "s") for k in range(150)] + [(150, clean(56) + " w111111111 w222222222 w333333333 w444444444" * 11, "en", "s")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[150]["n_repeat_words"] == 44 and not got[150]["base_failed"] and not got[150]["kept"]
+    assert all(got[k]["kept"] for k in range(150))
+
+
 # ---- packing -------------------------------------------------------------------------------------------------------
 
 
