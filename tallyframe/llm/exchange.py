@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cells, empty_text, partitions
@@ -12,6 +12,8 @@ from .shingles import mixed
 
 #: Stands for a null doc_id: later than every other.
 LAST = np.iinfo(np.int64).max
+#: Partitions that cells are dealt to at most, so that neither driver nor shuffle has more blocks than it can track.
+MOST_PARTITIONS = 20_000
 #: Six bytes of a hash; what a receiver and a sender are called on the way to buckets and on the way to cells.
 SIX, TO_CELL, TO_BUCKET = "V6", ("cell", "bucket", "block"), ("bucket", "cell", "block")
 
@@ -20,13 +22,16 @@ def schema(names: tuple[str, str, str]) -> str:
     return f"{names[0]} long, {names[1]} long, block binary"
 
 
-def dealt(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """doc_id, text (bytes), cell and columns to carry of each row, partitioned by cell, and how many cells there are."""
+def dealt(docs: DataFrame, carry: tuple[Column, ...] = ()) -> tuple[DataFrame, int]:
+    """doc_id, text (bytes), cell and columns to carry of each row, partitioned by cell, and how many cells there are.
+
+    A cell holds about CELL_BYTES whatever the input's size; partitions hold several cells once there are MOST_PARTITIONS.
+    """
     many = max(cells(docs), partitions(docs))
     text = F.encode(empty_text(), "UTF-8").alias("text")
-    cell = F.pmod(F.xxhash64("doc_id", F.lit("cell")), F.lit(many)).alias("cell")
-    more = [F.col(f"`{c}`").alias(f"carried {k}") for k, c in enumerate(carry)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, cell, *more).repartition(many, "cell"), many
+    cell = F.pmod(F.xxhash64("doc_id", "text", F.lit("cell")), F.lit(many)).alias("cell")
+    more = [c.alias(f"carried {k}") for k, c in enumerate(carry)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, cell, *more).repartition(min(many, MOST_PARTITIONS), "cell"), many
 
 
 def ranked(cell: pa.Table) -> list[int]:
@@ -84,28 +89,32 @@ def eight(short: np.ndarray) -> np.ndarray:
 
 
 def announced(buckets: int, own: int, doc: np.ndarray, h: np.ndarray) -> pa.Table:
-    """A cell's distinct hashes, with whether two of its documents have them, by bucket."""
+    """A cell's distinct hashes, with how many of its documents have them (255: or more), by bucket."""
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
+    h = h[new]
     cut = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(h)) - 1 if len(h) else cut
-    many = (doc[cut] != doc[ends]).astype(np.uint8)
+    many = np.minimum(np.diff(np.append(cut, len(h))), 255).astype(np.uint8)
     h = h[cut]
     bucket = (h % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return blocks(TO_BUCKET, bucket[order], own, (six(h[order]), many[order]))
 
 
-def common(key: tuple, rows: pa.Table) -> pa.Table:
-    """To each cell those of its hashes that more than one document has."""
-    cell, (short, many) = gathered(rows, [SIX, np.uint8])
-    h = eight(short)
-    _, which, often = np.unique(h, return_inverse=True, return_counts=True)
-    often = often + np.bincount(which, many, len(often)).astype(np.int64)
-    hit = often[which] > 1
-    h, cell = h[hit], cell[hit]
-    order = np.argsort(cell, kind="stable")
-    return blocks(TO_CELL, cell[order], key[0].as_py(), (six(h[order] << np.uint64(16)),))
+def shared_by(least: int):
+    """To each cell those of a bucket's hashes that `least` documents have (255 at most)."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        cell, (short, many) = gathered(rows, [SIX, np.uint8])
+        h = eight(short)
+        _, which = np.unique(h, return_inverse=True)
+        hit = np.bincount(which, many)[which] >= least
+        h, cell = h[hit], cell[hit]
+        order = np.argsort(cell, kind="stable")
+        return blocks(TO_CELL, cell[order], key[0].as_py(), (six(h[order] << np.uint64(16)),))
+
+    return run
 
 
 def distinct(rows: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bwt import shared
 from .common import table
-from .exchange import LAST, SIX, TO_BUCKET, TO_CELL, announced, blocks, common, dealt, distinct, eight, gathered, nothing, opened, schema, unblocked
+from .exchange import LAST, SIX, TO_BUCKET, TO_CELL, announced, blocks, dealt, distinct, eight, gathered, nothing, opened, schema, shared_by, unblocked
 from .shingles import mixed
 
 LEAST, GRAM = 50, 20
@@ -176,7 +176,7 @@ def _announce(buckets: int, least: int):
 
 
 def _common(key: tuple, rows: pa.Table) -> pa.Table:
-    return _passed(key, rows) if key[0].as_py() < 0 else common(key, rows)
+    return _passed(key, rows) if key[0].as_py() < 0 else shared_by(2)(key, rows)
 
 
 def _pressed(block: bytes) -> bytes:
