@@ -378,7 +378,7 @@ def _slow_alike(mine, other, span, percent):
 
 def _found(mine, other, span, percent=80):
     mine, other = np.array(mine, np.uint64), np.array(other, np.uint64)
-    out = windows.passages(mine, other, span, percent)
+    out = windows.passages(mine, windows._Other(other), span, percent)
     assert all(b - a >= span and s >= percent / 100 for a, b, s in out)
     return {k for a, b, _ in out for k in range(a, b)}
 
