@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import LEAST_GROUP, LEAST_WORDS, MEASURES, MOST_REPEATED, SPREAD
+from .quality import LEAST_EVENTS, LEAST_WORDS, MEASURES, MOST_REPEATED, PRIOR
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -15,23 +15,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
 FROM d LEFT JOIN g ON d.digest = g.digest"""
 
 
-def _fence(name: str, keys: str) -> str:
-    """Quartiles of each measure by keys, as fences."""
-    by = f"{keys}, measure" if keys else "measure"
-    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, (_, s, _) in MEASURES.items()) + " END"
-    below = " OR ".join(f"measure = '{m}'" for m, (_, _, b) in MEASURES.items() if b)
-    return f"""{name}_n AS (SELECT {by}, bin, sum(n) AS n FROM sketch GROUP BY {by}, bin),
-  {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS whole FROM {name}_n),
-  {name}_q AS (SELECT {by}, max(whole) AS docs, min(bin) FILTER (WHERE upto * 4 >= whole) AS q1, min(bin) FILTER (WHERE upto * 4 >= whole * 3) AS q3 FROM {name}_u GROUP BY {by}),
-  {name} AS (SELECT {by}, docs, CASE WHEN {below} THEN q1 - ({SPREAD} * (q3 - q1) + {slack}) ELSE -1 END AS low, q3 + {SPREAD} * (q3 - q1) + {slack} AS high FROM {name}_q)"""
-
-
 def _quality() -> str:
-    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {v.replace(' div ', ' // ')} AS v FROM c WHERE NOT base_failed" for m, (v, _, _) in MEASURES.items())
-    inside = " AND ".join(f"({v.replace(' div ', ' // ')}) BETWEEN max(low) FILTER (WHERE measure = '{m}') AND max(high) FILTER (WHERE measure = '{m}')" for m, (v, _, _) in MEASURES.items())
+    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {v.replace(' div ', ' // ')} AS v FROM c WHERE NOT base_failed" for m, (v, *_) in MEASURES.items())
+    inside = " AND ".join(f"({e} < {LEAST_EVENTS} OR ({v.replace(' div ', ' // ')}) BETWEEN max(low) FILTER (WHERE measure = '{m}') AND max(high) FILTER (WHERE measure = '{m}'))" for m, (v, e, *_) in MEASURES.items())
     counts = "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
     drop = "greatest(0, length(bin(v)) - 7)"
-    pick = lambda c: f"CASE WHEN o.docs >= {LEAST_GROUP} THEN o.{c} WHEN l.docs >= {LEAST_GROUP} THEN l.{c} ELSE w.{c} END AS {c}"
+    fact = lambda k: "CASE measure " + " ".join(f"WHEN '{m}' THEN {'NULL' if own[k] is None else own[k]}" for m, own in MEASURES.items()) + " END"
+    quantile = lambda k: f"min(bin) FILTER (WHERE upto * 100 >= whole * CAST({fact(k)} AS HUGEINT))"
+    same = lambda a, b, keys: " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys.split())
     return f"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
   w0 AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS k FROM t),
   w3 AS (SELECT doc_id, k, w, lead(w) OVER s AS w2, lead(w, 2) OVER s AS w3 FROM w0 WINDOW s AS (PARTITION BY doc_id ORDER BY k)),
@@ -44,8 +35,14 @@ def _quality() -> str:
   c AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c0),
   x AS ({values}),
   sketch AS (SELECT lang, source, measure, (v >> {drop}) << {drop} AS bin, count(*) AS n FROM x GROUP BY ALL),
-  {_fence("own", "lang, source")}, {_fence("lng", "lang")}, {_fence("whl", "")},
-  fences AS (SELECT o.lang, o.source, o.measure, {pick("low")}, {pick("high")} FROM own o JOIN lng l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whl w ON o.measure = w.measure),
+  wp AS (SELECT measure, bin, CAST(sum(n) AS HUGEINT) AS n FROM sketch GROUP BY ALL), wa AS (SELECT measure, CAST(sum(n) AS HUGEINT) AS n FROM sketch GROUP BY ALL),
+  lp AS (SELECT lang, measure, bin, CAST(sum(n) AS HUGEINT) AS n FROM sketch GROUP BY ALL), la AS (SELECT lang, measure, CAST(sum(n) AS HUGEINT) AS n FROM sketch GROUP BY ALL),
+  lm AS (SELECT la.lang, la.measure, wp.bin, coalesce(lp.n, 0) * wa.n + {PRIOR} * wp.n AS mass, (la.n + {PRIOR}) * wa.n AS whole FROM la JOIN wa ON la.measure = wa.measure JOIN wp ON la.measure = wp.measure LEFT JOIN lp ON {same("la", "lp", "lang measure")} AND wp.bin = lp.bin),
+  ga AS (SELECT lang, source, measure, CAST(sum(n) AS HUGEINT) AS n FROM sketch GROUP BY ALL),
+  gm AS (SELECT ga.lang, ga.source, ga.measure, lm.bin, coalesce(s.n, 0) * lm.whole + {PRIOR} * lm.mass AS mass, (ga.n + {PRIOR}) * lm.whole AS whole FROM ga JOIN lm ON {same("ga", "lm", "lang measure")} LEFT JOIN sketch s ON {same("ga", "s", "lang source measure")} AND lm.bin = s.bin),
+  gu AS (SELECT *, sum(mass) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS upto FROM gm WHERE mass > 0),
+  gq AS (SELECT lang, source, measure, {quantile(2)} AS q_low, {quantile(3)} AS q_mid, {quantile(4)} AS q_high FROM gu GROUP BY ALL),
+  fences AS (SELECT lang, source, measure, coalesce(floor(q_low - {fact(5)} * (q_high - q_mid)), -1) AS low, ceil(q_high + {fact(5)} * (q_high - q_mid)) AS high FROM gq),
   v AS (SELECT doc_id, {counts}, base_failed, CASE WHEN base_failed THEN FALSE ELSE {inside} END AS kept
     FROM c LEFT JOIN fences f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source GROUP BY doc_id, {counts}, base_failed)
 SELECT doc_id, {counts}, base_failed, kept FROM v"""
