@@ -4,13 +4,13 @@ Each source's documents are dealt into blocks by a hash, so the order of its blo
 is the number of blocks, over at most REPEATS passes, that its target needs. A binary tree over the output shards
 splits the quotas: every node gives its left half a draw without replacement from what it holds, so all sums stay
 exact. A shard then draws the next blocks of each source's order, disjoint from every other shard's, and orders the
-rows it got by a hash of its own. The tree works on one row of sums per source; rows stay in the cluster.
+rows it got by a hash of its own. The tree works on one row of sums per source; rows stay in the cluster. Blocks grow
+with the corpus once there are MOST_BLOCKS, so that every draw is within what the exact sampler takes.
 """
 
 from __future__ import annotations
 
 import json
-import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,8 +20,12 @@ from .common import WORD, empty_text, table, written
 
 #: Weights of the sources in order, repeating; how often at most a document is taken.
 WEIGHTS, REPEATS = (5, 2, 1), 3
-#: Words that a block holds, about.
-BLOCK_WORDS = 50_000
+#: Words that a block holds, about; blocks of all sources, beyond which they hold more.
+BLOCK_WORDS, MOST_BLOCKS = 50_000, 100_000_000
+#: Parts of a source's order of blocks within which a task sums.
+PARTS = 1024
+#: Sources whose sums the driver takes; more are refused.
+MOST_SOURCES = 1_000_000
 
 
 def targets(sources: list[tuple[str | None, int]], weights=WEIGHTS, repeats: int = REPEATS) -> list[float]:
@@ -52,7 +56,7 @@ def tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
         left, rest, need = np.zeros_like(held), int(held.sum()), draw
         for k, n in enumerate(held.tolist()):
             rest -= n
-            left[k] = _hypergeometric(dice, n, rest, need)
+            left[k] = int(dice.hypergeometric(n, rest, need)) if need and n else 0
             need -= int(left[k])
         split(left, first, mid)
         split(held - left, mid, last)
@@ -61,51 +65,57 @@ def tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _hypergeometric(dice: np.random.Generator, good: int, bad: int, draw: int) -> int:
-    if good + bad < 10**9:
-        return int(dice.hypergeometric(good, bad, draw)) if draw and good else 0
-    share = draw / (good + bad)
-    spread = math.sqrt(good * share * (1 - share) * bad / max(1, good + bad - 1))
-    return int(min(good, draw, max(0, draw - bad, round(dice.normal(good * share, spread)))))
-
-
-def mix(docs: DataFrame, shards: int = 8, seed: int = 1, weights=WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, carry: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 8, seed: int = 1, weights=WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, carry: bool = False) -> DataFrame:
     """Each row of docs with size, source_size, target, taken, and draws: array of (pass, shard, position, words).
 
     Null text: size 0. A null source is a source, last in order. A source without words has target 0 and takes none.
     Repeated rows are documents of their own. Empty table: no rows. The last document a source takes may be taken in
     part, so that taken sums to the rounded target. position orders a shard's rows; it isn't gapless.
-    Columns other than doc_id, text, source and carry are dropped.
+    Columns other than doc_id, text and source are dropped, or with carry all are kept as "carried 0", "carried 1", ...
     """
-    more = [carry] if carry else []
+    carried = [F.col(f"`{c}`").alias(f"carried {k}") for k, c in enumerate(docs.columns)] if carry else []
+    more = [f"carried {k}" for k in range(len(carried))]
     rows = written(
         docs.select(
             "doc_id",
             F.col("source").cast("string").alias("source"),
             F.regexp_count(empty_text(), F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64("doc_id", F.lit(seed), F.lit("rows")).alias("draw"),
-            *more,
+            F.xxhash64("doc_id", "text", F.lit(seed), F.lit("rows")).alias("draw"),
+            *carried,
         ),
         "mixing-rows",
     )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("words")).orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: their weights are set on the driver")
     sources = [(r[0], r[1]) for r in sizes]
     goal = targets(sources, weights, repeats)
     want = [min(repeats * n, round(t)) for t, (_, n) in zip(goal, sources, strict=True)]
+    block_words = max(block_words, -(-sum(n for _, n in sources) // MOST_BLOCKS))
     blocks = [max(1, n // block_words) for _, n in sources]
     facts = [{"source": s, "source_size": n, "target": t, "want": w, "blocks": b} for (s, n), t, w, b in zip(sources, goal, want, blocks, strict=True)]
     known = _frame(rows.sparkSession, facts, "source string, source_size long, target double, want long, blocks long")
     rows = rows.join(known, rows["source"].eqNullSafe(known["source"])).drop(known["source"]).withColumn("block", F.pmod("draw", "blocks"))
 
-    # One row per source, block and pass, in the order in which the source gives them.
+    # One row per source, block and pass, in the order in which the source gives them: by pass, then by hash. A task
+    # sums within a part of that order; the parts' sums, PARTS a source and pass at most, are then added up.
     key = ["source", "block"]
     sums = written(rows.groupBy(*key, "want", "blocks").agg(F.sum("size").alias("words")), "mixing-blocks")
-    turn = Window.partitionBy("source").orderBy("pass", F.xxhash64("block", "pass", F.lit(seed)), "block")
+    hashed = F.xxhash64("block", "pass", F.lit(seed))
+    part = F.shiftrightunsigned(hashed, 64 - (PARTS - 1).bit_length())
+    each = sums.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("hashed", hashed).withColumn("part", part)
+    turn = Window.partitionBy("source").orderBy("pass", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy("source", "pass", "part").agg(F.sum("words").alias("words"), F.count("*").alias("units"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    parts = parts.select(F.col("source").alias("s"), F.col("pass").alias("p"), F.col("part").alias("q"), before("words", turn).alias("words_before"), before("units", turn).alias("units_before"))
+    # parts are in the order of unsigned numbers, and within one part hashes are in the same order signed or not
+    within = Window.partitionBy("source", "pass", "part").orderBy("hashed", "block")
     units = (
-        sums.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn("start", F.coalesce(F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("nth", F.row_number().over(turn) - 1)
+        each.join(parts, each["source"].eqNullSafe(parts["s"]) & (each["pass"] == parts["p"]) & (each["part"] == parts["q"])).drop("s", "p", "q")
+        .withColumn("start", F.col("words_before") + before("words", within.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("nth", F.col("units_before") + F.row_number().over(within) - 1)
         .where(F.col("start") < F.col("want"))
+        .select("source", "block", "pass", "start", "nth")
     )
     units = written(units, "mixing-units")
     quota = {r[0]: r[1] for r in units.groupBy("source").count().collect()}
@@ -117,8 +127,8 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 1, weights=WEIGHTS, repeat
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("nth"))))
         .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "start"))).alias("units"))
     )
-    before = Window.partitionBy(*key).orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    first = Window.partitionBy(*key).orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(first), F.lit(0)))
     same = rows["source"].eqNullSafe(drawn["source"]) & (rows["block"] == drawn["block"])
     draws = F.filter(
         F.transform(
@@ -143,16 +153,16 @@ def mixed(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
     """The mix of docs (documents): a row for each time a document is drawn, with all its columns.
 
     Documents that aren't drawn go. One that is drawn in part keeps its text up to the last word drawn, and n_chars
-    follows. Rows equal in doc_id, text, language and source share the draws of one of them.
+    follows. Repeated rows are documents of their own.
     """
-    row = F.xxhash64("doc_id", "text", "lang", "source")
-    draws = mix(docs.withColumn("mixed row", row), shards, seed, carry="mixed row").where("taken > 0").select("mixed row", F.col("size").alias("mixed size"), F.col("draws").alias("mixed draws")).dropDuplicates(["mixed row"])
-    drawn = docs.withColumn("mixed row", row).join(draws.hint("merge"), "mixed row").withColumn("mixed draw", F.explode("mixed draws"))
-    taken = F.col("mixed draw")["words"]
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})")), 1, taken.cast("int")), "")
-    part = taken < F.col("mixed size")
-    drawn = drawn.withColumn("n_chars", F.when(part, F.length(first).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.when(part, first).otherwise(F.col("text")))
-    return drawn.select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in docs.columns])
+    drawn = mix(docs, shards, seed, carry=True).withColumn("draw", F.explode("draws"))
+    column = {c: F.col(f"carried {k}") for k, c in enumerate(docs.columns)}
+    taken, part = F.col("draw")["words"], F.col("draw")["words"] < F.col("size")
+    first = F.array_join(F.slice(F.regexp_extract_all(column["text"], F.lit(rf"([\x20\x09-\x0D]*{WORD})")), 1, taken.cast("int")), "")
+    made = column | {"text": F.when(part, first).otherwise(column["text"])}
+    if "n_chars" in column:
+        made["n_chars"] = F.when(part, F.length(first)).otherwise(column["n_chars"])
+    return drawn.select(*[made[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def _frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
