@@ -62,7 +62,7 @@ def _post(buckets: int, size: int, percent: int):
                     firsts.append(h[: first_shingles(len(h), percent)] if key not in seen else h[:0])
                     seen.add(key)
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys) % buckets - buckets, pa.int64()), batch.column(0), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys) % buckets - buckets, pa.int64()), batch.column(0), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), batch.column(2), pa.nulls(n, pa.binary())], names)
                 token = np.concatenate(firsts) if n else np.zeros(0, np.uint64)
                 owner = np.repeat(np.arange(n), [len(f) for f in firsts])
                 bucket = (token % np.uint64(buckets)).astype(np.int64)
@@ -71,9 +71,9 @@ def _post(buckets: int, size: int, percent: int):
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cut[1:], len(bucket))[: len(cut)]
                 blocks = [_packed(np.array(keys), np.array(ns), token[s:e], owner[s:e]) for s, e in zip(cut, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.nulls(len(cut), batch.schema.types[0]), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int32()), pa.array(blocks, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.nulls(len(cut), batch.schema.types[0]), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int32()), pa.nulls(len(cut), pa.int64()), pa.array(blocks, pa.binary())], names)
 
-    names = ["bucket", "doc_id", "key", "n", "block"]
+    names = ["bucket", "doc_id", "key", "n", "bytes", "block"]
     return run
 
 
@@ -97,7 +97,7 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _pair(names: list[str], id_type: pa.DataType, percent: int):
-    """The blocks of a bucket to pairs (kind 1); profiles pass (kind 0).
+    """The blocks of a bucket to pairs (kind 1); profiles pass (kind 0: class, hash of the text's bytes, shingles).
 
     Of shingles that too many classes share: each class, the first of those that share one, and how many (kind 2).
     """
@@ -111,7 +111,7 @@ def _pair(names: list[str], id_type: pa.DataType, percent: int):
         if key[0].as_py() < 0:
             n = blocks.num_rows
             none = pa.nulls(n, pa.int32())
-            return pa.Table.from_arrays([pa.array(np.zeros(n, np.int32)), blocks["key"], pa.nulls(n, pa.int64()), blocks["n"], none, none, blocks["doc_id"]], names)
+            return pa.Table.from_arrays([pa.array(np.zeros(n, np.int32)), blocks["key"], blocks["bytes"], blocks["n"], none, none, blocks["doc_id"]], names)
         parts = [_unpacked(x.as_py()) for x in blocks["block"]]
         keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         sizes = np.zeros(len(keys), np.int64)
@@ -250,34 +250,51 @@ def _tasks(asked: DataFrame) -> DataFrame:
     rows = asked.join(sizes, "root").withColumn("own", F.when(F.col("blocks") <= 2, 0).otherwise(own))
     rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     number = F.when(F.col("blocks") <= 2, 0).otherwise(1 + F.least("own", other) * F.col("blocks") + F.greatest("own", other))
-    return rows.withColumn("task", number).select("key", F.col("first").alias("id"), "root", "task")
+    return rows.withColumn("task", number).select("key", F.col("first").alias("id"), F.col("bytes").alias("id_bytes"), "root", "task")
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and text_class of each row of docs.
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text as UTF-8 and a hash of these bytes: with the doc_id it tells rows apart, where doc_ids are null or repeated, too."""
+    return docs.select("doc_id", F.encode(empty_text(), "UTF-8").alias("text"), F.xxhash64(empty_text()).alias("bytes"))
 
-    component_id: the least doc_id that links reach. Null, empty and blank texts have no shingles, link with nothing
-    and keep their own doc_id. Rows of equal words are linked, repeated rows too. A null doc_id is in a component
-    like others, but isn't its least while any other is there. Other columns are ignored. Empty table: no rows.
-    """
+
+def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, bytes, key (class) and n of each row, and key, root of each class that links with others."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     buckets = cells(docs)
-    texts = docs.select("doc_id", F.encode(empty_text(), "UTF-8").alias("text"))
+    texts = _texts(docs)
     schema = _ROW.format(id=kind)
     names = [x.split()[0] for x in schema.split(", ")]
-    blocks = texts.mapInArrow(_post(buckets, size, percent), f"bucket long, doc_id {kind}, key long, n int, block binary")
+    blocks = texts.mapInArrow(_post(buckets, size, percent), f"bucket long, doc_id {kind}, key long, n int, bytes long, block binary")
     posted = written(blocks.groupBy("bucket").applyInArrow(_pair(names, id_type, percent), schema), "jaccard-posted")
-    profile = posted.where("kind = 0").select("doc_id", F.col("a").alias("key"), F.col("na").alias("n"))
-    first = profile.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
+    profile = posted.where("kind = 0").select("doc_id", F.col("b").alias("bytes"), F.col("a").alias("key"), F.col("na").alias("n"))
     roots = families(posted, percent).select(F.col("node").alias("key"), "root")
-    asked = written(first.join(roots, "key"), "jaccard-families")
-    near = texts.join(_tasks(asked).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "task", "key", "text")
+    asked = written(_firsts(profile, "key").join(roots, "key"), "jaccard-families")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("bytes") == F.col("id_bytes"))
+    near = texts.join(_tasks(asked).hint("merge"), same).select("root", "task", "key", "text").dropDuplicates(["root", "task", "key"])
     links = written(near.groupBy("root", "task").applyInArrow(_solve(size, percent), "a long, b long, whole boolean"), "jaccard-links")
     apart = components(links.where("not whole").select("a", "b"))
-    found = links.where("whole").select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(apart.select(F.col("node").alias("key"), "root"))
+    return profile, links.where("whole").select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(apart.select(F.col("node").alias("key"), "root"))
+
+
+def _firsts(profile: DataFrame, by: str) -> DataFrame:
+    """by, first, bytes: of each class or root the least doc_id, a null one last, and which of its texts."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bytes")).alias("f")
+    return profile.where("n > 0").groupBy(by).agg(first).select(by, F.col("f.doc_id").alias("first"), F.col("f.bytes").alias("bytes"))
+
+
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and text_class of each row of docs.
+
+    component_id: the least doc_id that links reach. Null, empty and blank texts have no shingles, link with nothing
+    and keep their own doc_id. Rows of equal words are linked, repeated rows too. A null doc_id is in a component
+    like others, but isn't its least while any other is there. Other columns are ignored. Empty table: no rows.
+    """
+    profile, found = _linked(docs, size, percent)
+    first = _firsts(profile, "key").drop("bytes")
     linked = first.join(found, "key")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     known = first.join(linked.join(least, "root").select("key", "least"), "key", "left").select("key", F.coalesce("least", "first").alias("component"))
@@ -286,42 +303,30 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     )
 
 
-def _classed(docs: DataFrame, size: int) -> DataFrame:
-    """docs with the class of each row's text, as join() has it."""
-    columns = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                keys = [key for _, key, _ in _classes([x.as_py().lower() for x in batch.column(len(columns))], size)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.int64())], [*columns, "class"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("class", F.encode(empty_text(), "UTF-8")).mapInArrow(run, f"{kinds}, class long")
-
-
 def deduplicated(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose text is that of the least document of its component, with all their columns.
+    """One row of docs for each component, with all its columns: that of the least doc_id, and of its least text.
 
-    Where a doc_id is null or has several texts, each text is a document of its own. Of rows of equal words that only
-    null doc_ids have, one stays; blank ones all do.
+    Rows are told apart by doc_id and text, so where a doc_id is null or has several texts, each text is a document of
+    its own; of rows equal in both, one stays. A null doc_id is later than all others. Null, empty and blank texts are
+    in no component: all their rows stay.
     """
-    linked = join(docs, size, percent).withColumnRenamed("doc_id", "gone id")
-    far = ~F.col("gone id").eqNullSafe(F.col("component_id"))
-    texts = linked.groupBy("gone id").agg(F.min("text_class").alias("least"), F.max("text_class").alias("most"), F.max(far).alias("any"), F.min(far).alias("all"))
-    # ids of one text, or all of whose texts go, are settled by the id; texts are read again for others only
-    mixed = F.col("gone id").isNull() | (F.col("least") != F.col("most")) & F.col("any") & ~F.col("all")
-    by_id = texts.where(~mixed & F.col("any")).select("gone id")
-    rest = docs.join(by_id, F.col("doc_id") == F.col("gone id"), "left_anti")
-    several = texts.where(mixed).select("gone id")
-    sure = rest.join(several, F.col("doc_id").eqNullSafe(F.col("gone id")), "left_anti")
-    unsure = _classed(rest.join(several, F.col("doc_id").eqNullSafe(F.col("gone id")), "left_semi"), size)
-    gone = linked.where(far).select("gone id", F.col("text_class").alias("gone class")).distinct()
-    unsure = unsure.join(gone, F.col("doc_id").eqNullSafe(F.col("gone id")) & (F.col("class") == F.col("gone class")), "left_anti")
-    blank = F.trim(F.regexp_replace(empty_text(), r"[\x20\x09-\x0D]+", "")) == ""
-    one = unsure.where(F.col("doc_id").isNull() & ~blank).dropDuplicates(["class"])
-    return sure.unionByName(unsure.where(F.col("doc_id").isNotNull() | blank).drop("class")).unionByName(one.drop("class"))
+    profile, found = _linked(docs, size, percent)
+    rows = profile.where("n > 0").groupBy("doc_id", "bytes", "key").agg(F.first("n").alias("n"), F.count("*").alias("times"))
+    rows = rows.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = _firsts(rows, "root").select(F.col("root").alias("its root"), F.col("first").alias("stays"), F.col("bytes").alias("stays_bytes"))
+    stays = F.col("doc_id").eqNullSafe(F.col("stays")) & (F.col("bytes") == F.col("stays_bytes"))
+    marked = rows.join(least, F.col("root") == F.col("its root")).select(F.col("doc_id").alias("marked id"), F.col("bytes").alias("marked bytes"), stays.alias("stays"), "times")
+    marked = written(marked.where(~F.col("stays") | (F.col("times") > 1)), "jaccard-marked")
+
+    named = docs.toDF(*[f"carried {k}" for k in range(len(docs.columns))])
+    column = {c: F.col(f"carried {k}") for k, c in enumerate(docs.columns)}
+    same = column["doc_id"].eqNullSafe(F.col("marked id")) & (F.xxhash64(F.coalesce(column["text"], F.lit(""))) == F.col("marked bytes"))
+    out = named.join(marked, same, "left_anti")
+    repeated = marked.where("stays").drop("stays", "times")
+    if not repeated.isEmpty():
+        again = named.join(repeated, same)
+        out = out.unionByName(again.dropDuplicates(["marked id", "marked bytes"]).drop("marked id", "marked bytes"))
+    return out.toDF(*docs.columns)
 
 
 def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
