@@ -22,6 +22,8 @@ from .common import table, written
 SAMPLE, TREES, DEPTH, LEAF = 20_000, 8, 6, 8
 #: Share of all vectors, a vector in two trees counted twice, that a search sees.
 SEEN = 1.5
+#: Lengths of vectors that are searched.
+LENGTHS = 16
 #: Vectors and queries that meet in one task at most, about.
 ROWS, QUERIES = 16_384, 2_048
 
@@ -75,30 +77,40 @@ class Forest:
         return out
 
 
-def classes(vectors: DataFrame, key: str, value: str, members: int) -> DataFrame:
-    """first, place, id and value: the `members` least ids of each distinct vector, place 1 being `first` itself.
-
-    Vectors that are null, empty, zero or hold a null or non-finite component go, as do null ids, and vectors of
-    another length than the most frequent one.
-    """
+def _fine(vectors: DataFrame, key: str, value: str) -> DataFrame:
+    """id and value (doubles) of each row, without null ids and vectors that are null, empty, zero or hold a null or
+    non-finite component."""
     numbers = F.transform(value, lambda x: x.cast("double"))
     fine = F.col(key).isNotNull() & F.col(value).isNotNull() & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(numbers, lambda x: x != 0)
-    rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), numbers.alias("value"))
-    lengths = rows.groupBy(F.size("value").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = rows.where(F.size("value") == (lengths[0][0] if lengths else 0))
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy("id")))
-    return ranked.where(F.col("place") <= members).select("id", "value", "place")
+    return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), numbers.alias("value"))
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", value: str = "embedding", trees: int = TREES, depth: int = DEPTH, seen: float = SEEN, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found for each row of queries, which are rows of vectors.
 
     Nearness: Euclidean distance in double precision, ties to the smaller id, the query's own id left out. Equal
-    vectors are searched as one, so any number of copies costs what k + 1 do. Vectors that classes() sets aside take no
-    part. The result does not depend on partitioning. Rows repeating an id and vector count as one. Empty: no rows.
+    vectors are searched as one, so any number of copies costs what k + 1 do. Vectors that are null, empty, zero or
+    hold null or non-finite components take no part, nor do null ids. Vectors of different lengths have no distance:
+    each length has a forest of its own, up to LENGTHS of them; more are refused. The result does not depend on
+    partitioning. Rows repeating an id and vector count as one. Empty: no rows.
     """
+    there, asked = _fine(vectors, key, value), _fine(queries, key, value)
+    lengths = sorted(r[0] for r in there.select(F.size("value")).distinct().limit(LENGTHS + 1).collect())
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        of = F.size("value") == n
+        out = out.unionByName(_searched(there.where(of), asked.where(of), k, trees, depth, seen, sample))
+    return out
+
+
+def _searched(vectors: DataFrame, queries: DataFrame, k: int, trees: int, depth: int, seen: float, sample: int) -> DataFrame:
+    """neighbours() for vectors (id, value) of one length."""
     spark = vectors.sparkSession
-    kept = written(classes(vectors, key, value, k + 1), "forest-classes")
+    # the k + 1 least ids of each distinct vector
+    place = F.row_number().over(Window.partitionBy("value").orderBy("id"))
+    kept = written(vectors.withColumn("place", place).where(F.col("place") <= k + 1), "forest-classes")
     first = kept.where("place = 1").select(F.col("id").alias("first"), "value")
     fit = first.orderBy(F.xxhash64("first"), "first").limit(sample).collect()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -106,8 +118,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
         return spark.createDataFrame([], schema)
     forest = Forest(np.array([r["value"] for r in fit], np.float64), trees, depth)
     there = first.count()
-    # own copies that classes() left out are queries too, so these find their class by its vector
-    asked = classes(queries, key, value, 2**31 - 1).select(F.col("id").alias("query_id"), "value").distinct()
+    # copies that weren't kept are queries too, so these find their class by its vector
+    asked = queries.select(F.col("id").alias("query_id"), "value").distinct()
     asked = written(asked.join(first, "value").select("query_id", "first"), "forest-queries")
     wanted = first.join(asked.select("first").distinct(), "first")
 
