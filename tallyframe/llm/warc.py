@@ -27,6 +27,8 @@ from .common import empty_text, partitions, shared_dir, table, written
 
 #: Payloads of fewer bytes are never revisits. Lines of an index block. Bytes at which an archive file ends.
 LEAST_PAYLOAD, BLOCK, FILE = 100, 512, 64 << 20
+#: Captures of an index file, about, and index files at most: beyond that they grow.
+INDEX_ROWS, MOST_FILES = 20_000, 10_000
 #: Salt against payloads that a large share of the pages has.
 SALT = 32
 _MAGIC = b"CAPTURES"
@@ -143,9 +145,9 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def indexed(captures: DataFrame, folder: str) -> list[tuple[str, str]]:
-    """Writes the index files; (first key, file) of each, in order: as many as partitions, whatever the input."""
+    """Writes the index files; (first key, file) of each, in order. Their number follows the captures', up to MOST_FILES."""
     lines = captures.select("key", F.to_json(F.struct("file", "start", "length")).alias("line"))
-    lines = lines.repartitionByRange(partitions(captures), "key").sortWithinPartitions("key", "line")
+    lines = lines.repartitionByRange(max(1, min(MOST_FILES, -(-captures.count() // INDEX_ROWS))), "key").sortWithinPartitions("key", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _place(folder)
