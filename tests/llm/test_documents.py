@@ -470,3 +470,127 @@ def test_very_long_text(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.join(rows).collect()} == {1: 1, 2: 1, 3: 3}
     assert {r["doc_id"]: r["n_removed"] for r in suffixes.dedup(rows).collect()}[2] >= len(long)
     assert {r["doc_id"]: r["n_removed"] for r in windows.dedup(rows).collect()}[2] >= 299_000
+
+
+def test_very_long_texts_are_dealt_packed_and_mixed(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    rows = spark.createDataFrame([(1, "word " * 200_000, "s"), (2, None, "s"), (3, "few words", None)], "doc_id long, text string, source string")
+    assert sorted(r["size"] for r in sharding.shard(rows).collect()) == [1, 10, 1_000_001]
+    pieces = [r for r in packing.pack(rows, path).collect() if r["doc_id"] == 1]
+    assert sum(r["length"] for r in pieces) == 200_001 and max(r["length"] for r in pieces) == 2048
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(rows).collect()} == {1: 200_000, 2: 0, 3: 2}
+
+
+# ---- mixing and near duplicates by other ways ------------------------------------------------------------------------
+
+
+def _filled(sources, weights, repeats):
+    """Targets by another way: the level at which min(repeats x size, weight x level) adds up to all words, in fractions."""
+    from fractions import Fraction
+
+    total = sum(n for _, n in sources)
+    weight = [weights[k % len(weights)] for k in range(len(sources))]
+    low = 0
+    bounds = sorted({Fraction(repeats * n, w) for (_, n), w in zip(sources, weight, strict=True)})
+    for bound in [*bounds, None]:  # between two neighbouring levels the sum is linear
+        full = [Fraction(repeats * n, w) <= low for (_, n), w in zip(sources, weight, strict=True)]
+        free = sum(w for w, f in zip(weight, full, strict=True) if not f)
+        held = sum(repeats * n for (_, n), f in zip(sources, full, strict=True) if f)
+        if free and (level := Fraction(total - held, free)) is not None and (bound is None or level <= bound):
+            return [float(min(repeats * n, w * level)) for (_, n), w in zip(sources, weight, strict=True)]
+        low = bound
+    return [float(repeats * n) for _, n in sources]
+
+
+def test_targets_by_water_filling():
+    import random
+
+    dice = random.Random(9)
+    for _ in range(300):
+        sources = [(f"s{k:02}", dice.choice([0, 1, 7, 100, 1000, 10**6])) for k in range(dice.randrange(1, 9))]
+        got, want = mixing.targets(sources), _filled(sources, mixing.WEIGHTS, mixing.REPEATS)
+        assert np.allclose(got, want, rtol=1e-9), sources
+
+
+def test_mix_draws_every_block_once(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(mixing, "PARTS", 8)
+    dice = random.Random(3)
+    rows = [(k, " ".join(["w"] * dice.randrange(1, 60)), dice.choices(["a", "b", "c", None], [30, 6, 2, 1])[0]) for k in range(800)]
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(docs, block_words=100).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    want = dict(zip(names, _filled([(s, sizes[s]) for s in names], mixing.WEIGHTS, mixing.REPEATS), strict=True))
+    taken, shards = Counter(), Counter()
+    for r in got:
+        assert r["taken"] == sum(d["words"] for d in r["draws"]) <= 3 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert len({d["pass"] for d in r["draws"]}) == len(r["draws"]) and abs(r["target"] - want[r["source"]]) < 1e-6 * r["target"] + 1e-9
+        # whole draws but for the one in which the source's target falls
+        taken[r["source"]] += r["taken"]
+        for d in r["draws"]:
+            shards[r["source"], d["shard"]] += d["words"]
+    assert all(taken[s] == round(want[s]) for s in names) and len(got) == len(rows)
+    cut = Counter(r["source"] for r in got for d in r["draws"] if d["words"] < r["size"])
+    assert max(cut.values(), default=0) <= 3
+    # a source's words are dealt to all shards, none far from an even part
+    for s in names[:2]:
+        assert all(0.3 * taken[s] / 8 < shards[s, k] < 2.5 * taken[s] / 8 for k in range(8))
+    key = lambda rows: sorted(((r["doc_id"], r["size"], r["source"], r["draws"]) for r in rows), key=repr)
+    assert key(mixing.mix(docs.repartition(5), block_words=100).collect()) == key(got)
+
+
+def test_mixed_keeps_rows_with_clashing_names_apart(spark):
+    rows = [(1, "one two three", "a", None), (1, "one two three", "a", "other"), (None, "four five", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `mixed row` string")
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and {tuple(r)[3] for r in got.collect()} <= {None, "other", "x"}
+    assert sum(len(r["text"].split()) for r in got.collect()) == 8
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = lambda k: f"text number {k} has these words and no others"
+    cases = [
+        [(None, text(1)), (5, text(1)), (None, text(2))],
+        [(3, text(1)), (7, text(1)), (7, text(2))],
+        [(3, text(1)), (3, text(1)), (3, text(1).upper())],
+        [(None, text(1)), (None, text(1)), (None, ""), (None, ""), (None, None), (4, " \n")],
+        [(8, text(3)), (2, text(3)), (2, text(4)), (8, text(4))],
+    ]
+    want = [{(5, text(1)), (None, text(2))}, {(3, text(1)), (7, text(2))}, None, {(None, text(1)), (None, ""), (None, None), (4, " \n")}, {(2, text(3)), (2, text(4))}]
+    for rows, stay in zip(cases, want, strict=True):
+        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `gone id` string")
+        got = [tuple(r)[:2] for r in jaccard.deduplicated(docs).collect()]
+        if stay is None:
+            assert len(got) == 1 and got[0][0] == 3
+        else:
+            blanks = [r for r in rows if not (r[1] or "").strip()]
+            assert set(got) == stay and len(got) == len(stay) - len(set(blanks)) + len(blanks)
+
+
+def test_groups_have_fences_of_their_own(spark):
+    import random
+
+    dice = random.Random(8)
+    text = lambda n, share: " ".join(f"w{dice.randrange(10**6)}" + ("#" if dice.random() < share else "") for _ in range(n))
+    rows, k = [], 0
+    for source, share, docs in (("plain", 0.0, 900), ("tagged", 0.2, 900), ("small", 0.0, 6)):
+        for _ in range(docs):
+            rows.append((k, text(80, share), "en", source))
+            k += 1
+    rows += [(k, text(80, 0.2), "en", "plain"), (k + 1, text(80, 0.2), "en", "tagged"), (k + 2, text(80, 0.2), "en", "small"), (k + 3, text(200, 0.0) + " #", "en", "plain")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[k]["kept"] and got[k + 1]["kept"]  # the same share, another group
+    assert got[k + 2]["kept"]  # too few of its own: it leans on its language, half of which is tagged
+    assert got[k + 3]["kept"]  # one symbol says nothing
+    assert sum(got[j]["kept"] for j in range(k)) >= 0.99 * k
+    # sketches of parts add up to the sketch of all
+    measured = quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    whole = sorted(map(tuple, quality.sketches(measured).collect()))
+    parts = [quality.sketches(measured.where(f"doc_id % 3 = {j}")) for j in range(3)]
+    added = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang", "source", "measure", "bin").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, added.collect())) == whole

@@ -65,8 +65,9 @@ def test_trees_stay_shallow():
     for _ in range(5_000):  # at the beginning
         doc.edit(0, 0, " cd")
     assert _deep(doc.tree) < 40
+    doc.edit(0, 15_000, "")
     for _ in range(20):  # large parts go
-        doc.edit(0, doc.tree.chars * 2 // 5, "")
+        doc.edit(0, doc.tree.pieces * 2 // 5 * 3, "")
     assert _deep(doc.tree) < 20 and doc.text == " ab" * doc.tree.pieces
 
 
