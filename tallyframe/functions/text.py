@@ -273,8 +273,13 @@ def unified_diff_column(a: Column, b: Column) -> Column:
 
 
 def text_diffs(rows: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
-    """keys, op, text, a, b, marked and hidden: a row for each line of the diff of each row's texts."""
-    return rows.select(*keys, F.inline(unified_diff_column(F.col(left), F.col(right))))
+    """keys, too_large, op, text, a, b, marked and hidden: a row for each line of the diff of each row's texts.
+
+    A pair without a diff has one row without a line: too_large tells whether it has texts on both sides.
+    """
+    diffed = rows.withColumn("__fd_lines", unified_diff_column(F.col(left), F.col(right)))
+    too_large = F.col(left).isNotNull() & F.col(right).isNotNull() & F.col("__fd_lines").isNull()
+    return diffed.select(*keys, too_large.alias("too_large"), F.inline_outer("__fd_lines"))
 
 
 # ---- numbers, filters and statuses in words ------------------------------------------------------------------------

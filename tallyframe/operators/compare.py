@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import DtypeMismatchError, cast_hint, common_type, is_nested, type_name
 from ..functions.values import comparable, differs
 from ..plans.result import ColumnInfo, DiffResult, Layout
-from ..sources.inputs import ordered, to_spark
+from ..sources.inputs import ordered, settled, to_spark
 from . import pairing
 
 #: Column names that begin so are the engine's.
-RESERVED = "__fd_"
+RESERVED = "__fd_"  # a fixed value
 MODES = ("match", "number", "raise")
+#: Rows of a partition of the numbered result, about, and its partitions at most.
+LAYOUT_ROWS, MOST_PARTITIONS = 250_000, 20_000
 
 
 def compare(
@@ -49,7 +52,8 @@ def compare(
     keys = (key,) if isinstance(key, str) else tuple(key)
     _check_keys(sides, names, keys)
     order = [] if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
-    _check_duplicates(sides, names, keys, duplicates, order)
+    with _as_value_error():
+        _check_duplicates(sides, names, keys, duplicates, order)
 
     ignored = tuple(c for c in dict.fromkeys(ignore_columns) if c not in keys)
     skip = {*keys, *ignored}
@@ -66,17 +70,23 @@ def compare(
     n = len(compared)
     layout += [Layout(ColumnInfo(c, "left_only", types[0][c], None), f"l{n + i}", None, None) for i, c in enumerate(only[0])]
     layout += [Layout(ColumnInfo(c, "right_only", None, types[1][c]), None, f"r{n + i}", None) for i, c in enumerate(only[1])]
-    matcher = _Matcher(sides, types, keys, compared, only, casts, order, duplicates)
+    with _as_value_error():
+        matcher = _Matcher(sides, types, keys, compared, only, casts, order, duplicates)
     mode = "match" if duplicates == "raise" else duplicates
-    result = DiffResult(matcher.joined, layout, spark=sides[0].sparkSession, left_name=left_name, right_name=right_name, ignored=ignored, repeats=matcher.repeats, duplicates=mode)
-    if matcher.repeats is None:
-        try:
-            result.joined  # noqa: B018 - errors of the plan show here
-        except AnalysisException as error:
-            raise ValueError(f"Comparison failed: {error}") from error
+    result = DiffResult(matcher.joined, layout, spark=sides[0].sparkSession, left_name=left_name, right_name=right_name, ignored=ignored, repeats=matcher.repeats, duplicates=mode, release=matcher.release)
+    with _as_value_error():
+        result.joined  # noqa: B018 - errors of the plan show here
     return result
 
 
+@contextmanager
+def _as_value_error() -> Iterator[None]:
+    try:
+        yield
+    except AnalysisException as error:
+        raise ValueError(f"Comparison failed: {error}") from error
+
+
 class _Matcher:
     """Builds the joined plan, with or without row ids. Columns get names by position, so any input names will do."""
 
@@ -85,12 +95,18 @@ class _Matcher:
         self.casts, self.order, self.duplicates = casts, order, duplicates
         self.key_names = [f"k{i}" for i in range(len(keys))]
         self.repeats = None
+        #: Frames that are persisted until the result lets go of them.
+        self.held: list[DataFrame] = []
         if duplicates != "raise":
             # the one early look at the data: whether any key repeats decides the plan
             plain = [self._side(s, None).select(*self.key_names) for s in (0, 1)]
             if pairing.any_repeats(*plain, self.key_names):
                 self.repeats = pairing.key_counts(*plain, self.key_names).persist()
 
+    def _keep(self, frame: DataFrame) -> DataFrame:
+        self.held.append(frame)
+        return frame
+
     def _side(self, side: int, ordinal: str | None, frame: DataFrame | None = None) -> DataFrame:
         """Keys, values, presence and order columns of a side."""
         frame = self.sides[side] if frame is None else frame
@@ -121,13 +137,15 @@ class _Matcher:
         match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"x{k}")) for k in keys])
         left, right = (rows.join(counts, match, "left").drop(*[f"x{k}" for k in keys]) for rows in (left, right))
         repeats = F.col("nl").isNotNull()
+        hot = self.repeats.agg(F.max(F.greatest("nl", "nr"))).first()[0] > pairing.MOST_IN_RUN
         if self.duplicates == "number":
             order = [f"o{i}" for i in range(len(self.order))]
-            number = lambda rows, ordinal: pairing.numbered(rows.where(repeats), keys, order, ordinal).unionByName(rows.where(~repeats).withColumn("occ", F.lit(0).cast("long")))
+            number = lambda rows, ordinal: pairing.numbered(rows.where(repeats), keys, order, ordinal, "occ", hot).unionByName(rows.where(~repeats).withColumn("occ", F.lit(0).cast("long")))
             return number(left, "lo"), number(right, "ro")
         values = [f"v{i}" for i in range(len(self.compared))]
         of = lambda rows, side, ordinal: self._values(rows.where(repeats), side).select(*keys, *values, ordinal)
-        pairs = pairing.matched(of(left, 0, "lo"), of(right, 1, "ro"), keys, values).persist()
+        pairs = pairing.matched(of(left, 0, "lo"), of(right, 1, "ro"), keys, values, hot, self._keep)
+        pairs = self._keep(settled(pairs))
         left = left.withColumn("occ", F.when(repeats, F.col("lo") + 1).otherwise(F.lit(0).cast("long")))
         partner = pairs.select(F.col("lo").alias("partner"), F.col("ro").alias("of"))
         right = right.join(partner, F.col("ro") == F.col("of"), "left").drop("of")
@@ -136,14 +154,18 @@ class _Matcher:
 
     def joined(self, numbered: bool) -> DataFrame:
         ordinal = numbered or self.repeats is not None
+        sizes = (0, 0)
         if numbered:
-            left, right = (self._side(s, n, ordered(self.sides[s], n)) for s, n in ((0, "lo"), (1, "ro")))
+            found = [ordered(s, n) for s, n in zip(self.sides, ("lo", "ro"), strict=True)]
+            left, right = (self._side(k, n, found[k][0]) for k, n in ((0, "lo"), (1, "ro")))
+            sizes = tuple(x[1] for x in found)
+            self.held += [x[2] for x in found]
         else:
             left, right = (self._side(s, n if ordinal else None) for s, n in ((0, "lo"), (1, "ro")))
         keys, extra = list(self.key_names), []
         if self.repeats is not None:
             if not numbered:
-                left, right = left.persist(), right.persist()  # ordinals must not change between uses
+                left, right = (self._keep(settled(x)) for x in (left, right))  # ordinals must not change between uses
             left, right = self._occurrences(left, right)
             keys.append("occ")
             extra = [F.coalesce(n, f"r_{n}").alias(n) for n in ("nl", "nr")]
@@ -163,17 +185,33 @@ class _Matcher:
             any_flag = any_flag | F.col(f"d{i}")
         status = F.when(~F.col("in_r"), 2).when(~F.col("in_l"), 3).when(any_flag, 1).otherwise(0).cast("tinyint").alias("status")
         out = out.select("*", status).drop("in_l", "in_r")
-        return self._with_ids(out) if numbered else out
+        return self._with_ids(out, *sizes) if numbered else out
 
-    @staticmethod
-    def _with_ids(rows: DataFrame) -> DataFrame:
-        """row_id: the left ordinal; after them, the rank of the right ordinal among rows that only the right side has."""
-        rows = rows.persist()
-        paired = rows.where("lo is not null").withColumn("row_id", F.col("lo"))
-        single = rows.where("lo is null")
-        after = paired.count()
-        ranked = ordered(single.repartitionByRange("ro").sortWithinPartitions("ro"), "rank").withColumn("row_id", F.col("rank") + after).drop("rank")
-        return paired.unionByName(ranked).drop("lo", "ro")
+    def _with_ids(self, rows: DataFrame, left: int, right: int) -> DataFrame:
+        """row_id: the left ordinal; after them, the rank of the right ordinal among rows that only the right side has.
+
+        Rows are laid out by it, so that a page is found in few cached batches: dealt by ranges of left ordinals and, behind
+        them, of right ones, and sorted there. Left ordinals are dense, so only right rows need counting.
+        """
+        parts = max(1, min(MOST_PARTITIONS, -(-(left + right) // LAYOUT_ROWS)))
+        width = max(1, -(-(left + right) // parts))
+        rows = rows.withColumn("place", F.coalesce("lo", F.lit(left) + F.col("ro"))).withColumn("range", F.floor(F.col("place") / width))
+        rows = self._keep(settled(rows.repartition(parts, "range").sortWithinPartitions("range", "place")))
+        starts, at = [], 0
+        for k, n in sorted(map(tuple, rows.where("lo is null").groupBy("range").count().collect())):  # MOST_PARTITIONS rows at most
+            starts.append((k, at))
+            at += n
+        starts = F.broadcast(rows.sparkSession.createDataFrame(starts or [(-1, 0)], "r long, start long"))
+        before = F.greatest(F.lit(0), F.least(F.lit(left), (F.col("range") + 1) * width) - F.col("range") * width)  # left rows of the range
+        nth = F.row_number().over(Window.partitionBy("range").orderBy("place")) - 1
+        rows = rows.withColumn("nth", nth).join(starts, F.col("range") == F.col("r"), "left")
+        row_id = F.coalesce("lo", F.lit(left) + F.col("start") + F.col("nth") - before)
+        return rows.withColumn("row_id", row_id.cast("long")).drop("lo", "ro", "place", "range", "nth", "r", "start")
+
+    def release(self) -> None:
+        for frame in self.held:
+            frame.unpersist()
+        self.held = []
 
 
 def _check_keys(sides, names, keys) -> None:

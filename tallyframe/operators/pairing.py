@@ -6,14 +6,20 @@ that (key, occurrence) is unique on both sides. Only rows of repeated keys go th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.inputs import settled
+
 #: Fixed limits on candidate pairs that are compared one by one: for a key, and altogether.
 MOST_FOR_KEY, MOST_IN_ALL = 10_000, 1_000_000
 
+#: Rows of a key up to which one task numbers them; beyond, runs of about as many are numbered each.
+MOST_IN_RUN = 1 << 20
+
 _PAIR = "array<struct<n:int,lo:bigint,ro:bigint>>"
 
 
@@ -45,13 +51,28 @@ def key_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return counts.where("nl > 1 or nr > 1")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], ordinal: str) -> DataFrame:
-    """rows with occ: the place among the rows of the key, by `order`, nulls last, then by `ordinal`."""
-    by = [F.col(c).asc_nulls_last() for c in order]
-    return rows.withColumn("occ", F.row_number().over(Window.partitionBy(*keys).orderBy(*by, ordinal)).cast("long"))
+def numbered(rows: DataFrame, by: list[str], order: list[str], ordinal: str, name: str, hot: bool) -> DataFrame:
+    """rows with their place among the rows equal in `by`, from 1: by `order`, nulls last, then by `ordinal`.
+
+    hot: a group may be too large for one task. Runs of it are numbered each, and begin where the sizes of those before
+    end: runs of ordinals, or, where columns order the rows, the ranges that a sort deals them to.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    if not hot:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*keys, ordinal)).cast("long"))
+    if order:
+        rows = settled(rows.repartitionByRange(*by, *keys, ordinal).withColumn("run", F.spark_partition_id().cast("long")))
+    else:
+        rows = rows.withColumn("run", F.shiftright(ordinal, (MOST_IN_RUN - 1).bit_length()))
+    within = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by, "run").orderBy(*keys, ordinal)).cast("long"))
+    sizes = rows.groupBy(*by, "run").agg(F.count("*").alias("size"))
+    before = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where("before > 0").drop("size")
+    out = within.join(renamed(sizes, [*by, "run"]), same([*by, "run"]), "left").withColumn(name, F.col(name) + F.coalesce("before", F.lit(0)))
+    return out.select(*[c for c in within.columns if c != "run"])
 
 
-def matched(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def matched(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], hot: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """lo and ro of the rows that belong together.
 
     left, right: rows of repeated keys, with keys, values in comparable form, and an ordinal (lo, ro). Equal rows pair
@@ -59,10 +80,9 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
     fewest different values first and then by ordinals; keys with too many candidates pair by position.
     """
     both = left.select(*keys, *values, "lo", F.lit(None).cast("long").alias("ro")).unionByName(right.select(*keys, *values, F.lit(None).cast("long").alias("lo"), "ro"))
-    is_left = F.col("lo").isNotNull()
-    copy = Window.partitionBy(*keys, *values, is_left).orderBy(F.coalesce("lo", "ro"))
-    spread = both.repartition(*keys, *values) if values else both
-    exact = spread.withColumn("copy", F.row_number().over(copy)).groupBy(*keys, *values, "copy").agg(F.max("lo").alias("lo"), F.max("ro").alias("ro")).persist()
+    both = both.withColumn("ordinal", F.coalesce("lo", "ro")).withColumn("side", F.col("lo").isNotNull())
+    copies = numbered(both, [*keys, *values, "side"], [], "ordinal", "copy", hot)
+    exact = keep(settled(copies.groupBy(*keys, *values, "copy").agg(F.max("lo").alias("lo"), F.max("ro").alias("ro"))))
     equal = exact.where("lo is not null and ro is not null").select("lo", "ro")
     rest_l = exact.where("ro is null").select(*keys, *values, "lo")
     rest_r = exact.where("lo is null").select(*keys, *values, "ro")
@@ -92,8 +112,7 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
     )
     similar = pairs.select(F.inline(taken)).select("lo", "ro")
 
-    place = lambda rows, by: rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
-    c, d = place(of(rest_l, ~F.col("small")), "lo"), place(of(rest_r, ~F.col("small")), "ro")
+    c, d = (numbered(of(rows, ~F.col("small")), keys, [], by, "at", hot) for rows, by in ((rest_l, "lo"), (rest_r, "ro")))
     placed = c.join(renamed(d, [*keys, *values, "at"]), same([*keys, "at"])).select("lo", "ro")
     return equal.unionByName(similar).unionByName(placed)
 

@@ -101,10 +101,10 @@ class DiffResult:
     Counts run it once. numbered() adds row ids.
     """
 
-    def __init__(self, plan: Callable[[bool], DataFrame], layout: Sequence[Layout], *, spark: SparkSession, left_name: str, right_name: str, ignored: Sequence[str], repeats: DataFrame | None, duplicates: str):
+    def __init__(self, plan: Callable[[bool], DataFrame], layout: Sequence[Layout], *, spark: SparkSession, left_name: str, right_name: str, ignored: Sequence[str], repeats: DataFrame | None, duplicates: str, release: Callable[[], None] = lambda: None):
         self._plan, self.layout, self.spark = plan, tuple(layout), spark
         self.left_name, self.right_name, self.ignored = left_name, right_name, tuple(ignored)
-        self._repeats, self._mode = repeats, duplicates
+        self._repeats, self._mode, self._release = repeats, duplicates, release
 
     def __repr__(self) -> str:
         s = self.summary
@@ -171,16 +171,24 @@ class DiffResult:
 
     @cached_property
     def _numbered(self) -> DataFrame:
-        return self._plan(True).persist()
+        rows = self._plan(True).persist()
+        rows.count()
+        if not self.has_duplicates:
+            self._release()  # what numbering kept; where keys repeat, joined still reads it
+        return rows
 
     def numbered(self) -> DataFrame:
         """joined with row_id: rows with a left side in its order from 0, then the others in the right side's. Persisted."""
         return self._numbered
 
     def unpersist(self) -> None:
-        if "_numbered" in self.__dict__:
-            self._numbered.unpersist()
-            del self.__dict__["_numbered"]
+        """Lets go of everything that is kept for this result; asked again, it is made again."""
+        self._release()
+        for name in ("_numbered", "joined"):
+            if name in self.__dict__:
+                if name == "_numbered":
+                    self._numbered.unpersist()
+                del self.__dict__[name]
 
     @staticmethod
     def _distinct(names: list[str]) -> list[str]:

@@ -1,7 +1,9 @@
 """Views of a result: filtered, searched, sorted and paged.
 
-A query is one predicate and one order over the numbered result. Its row ids, in order, are kept for the last queries,
-so that a page is a range of them.
+A query is one predicate and one order over the numbered result, which is laid out by row id, so that the rows of a
+page are found in few of its cached batches. Without predicate and order the ids of a page are its places. Else the
+first pages are the top rows of the query; a later one has the view's ids sorted once: on the driver up to a size that
+is checked, beyond that as a table.
 """
 
 from __future__ import annotations
@@ -11,12 +13,13 @@ import datetime as dt
 import io
 import math
 from collections import OrderedDict
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +30,8 @@ from .result import STATUS_ORDER, ColumnInfo, DiffResult, Layout, Status, status
 
 #: Fixed limits: rows of a page, views kept, characters of a search.
 MOST_ON_PAGE, MOST_VIEWS, MOST_SEARCHED = 1000, 8, 500
+#: Rows from the top of a view that are found without sorting all of it; ids that the driver keeps of a view.
+TOP, MOST_IN_DRIVER = 1000, 20_000_000
 
 #: Operators of each filter type (fixed values).
 OPERATORS = {
@@ -90,13 +95,19 @@ def _place(value: Any, columns: tuple[ColumnInfo, ...]) -> int | None:
     return value if isinstance(value, int) and not isinstance(value, bool) and 0 <= value < len(columns) else None
 
 
-@dataclass(frozen=True, slots=True)
+@dataclass(slots=True)
 class View:
-    """Row ids of a query with their rank (row_id, rank), how many, and the columns that differ in some row."""
+    """How many rows a query has, the columns that differ in some of them, and, once asked for, their ids in order."""
 
-    ids: DataFrame
     size: int
     diff_columns: tuple[int, ...]
+    ids: np.ndarray | range | DataFrame | None = None
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        for frame in (self.held, self.ids):
+            if isinstance(frame, DataFrame):
+                frame.unpersist()
 
 
 class ViewEngine:
@@ -111,25 +122,48 @@ class ViewEngine:
         if query in self._views:
             self._views.move_to_end(query)
             return self._views[query]
-        rows = self.result.numbered().where(predicate(self.result, query))
-        flags = [(i, x.flag) for i, x in enumerate(self.result.layout) if x.flag]
-        seen = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for _, f in flags]).first()
-        # rank first, then ids: the sort runs once, over ids and sort key only
-        in_order = rows.orderBy(*order(self.result, query)).select("row_id")
-        view = View(ordered(in_order, "rank").persist(), seen["n"], tuple(i for i, f in flags if seen[f]))
+        if query == Query():
+            n = self.result.summary.total
+            view = View(n, tuple(i for i, c in enumerate(self.result.columns) if c.mismatches), range(n))
+        else:
+            flags = [(i, x.flag) for i, x in enumerate(self.result.layout) if x.flag]
+            seen = self._found(query).agg(F.count("*").alias("n"), *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for _, f in flags]).first()
+            view = View(seen["n"], tuple(i for i, f in flags if seen[f]))
         self._views[query] = view
         if len(self._views) > MOST_VIEWS:
-            self._views.popitem(last=False)[1].ids.unpersist()
+            self._views.popitem(last=False)[1].release()
         return view
 
+    def _found(self, query: Query) -> DataFrame:
+        return self.result.numbered().where(predicate(self.result, query))
+
+    def _sorted(self, query: Query, view: View) -> np.ndarray | range | DataFrame:
+        """The view's ids in order, sorted once."""
+        if view.ids is None:
+            ids = self._found(query).orderBy(*order(self.result, query)).select("row_id")
+            if view.size <= MOST_IN_DRIVER:
+                view.ids = ids.toArrow()["row_id"].to_numpy()
+            else:
+                ranked, _, view.held = ordered(ids, "rank")
+                view.ids = ranked.persist()
+        return view.ids
+
     def page(self, query: Query, page: int, page_size: int) -> dict[str, Any]:
         """One page of a query as plain values; size and number are moved into what there is."""
         size = max(1, min(int(page_size), MOST_ON_PAGE))
         view = self.view(query)
         page = max(0, min(int(page), max(1, math.ceil(view.size / size)) - 1))
         first = page * size
-        ids = [r[0] for r in sorted(view.ids.where(F.col("rank").between(first, first + size - 1)).collect(), key=lambda r: r[1])]
-        return {"filtered": view.size, "page": page, "page_size": size, "diff_columns": list(view.diff_columns), "rows": self.serialise(ids)}
+        answer = {"filtered": view.size, "page": page, "page_size": size, "diff_columns": list(view.diff_columns)}
+        if view.ids is None and first + size <= TOP:
+            top = self._found(query).orderBy(*order(self.result, query)).limit(first + size).collect()
+            return answer | {"rows": [self._plain(r) for r in top[first:]]}
+        ids = self._sorted(query, view)
+        if isinstance(ids, DataFrame):
+            ids = [r[0] for r in sorted(ids.where(F.col("rank").between(first, first + size - 1)).collect(), key=lambda r: r[1])]
+        else:
+            ids = [int(i) for i in ids[first : first + size]]
+        return answer | {"rows": self.serialise(ids)}
 
     def row_at(self, query: Query, place: int) -> dict[str, Any] | None:
         """The row at a place of a view, on whichever page it is; None outside."""
@@ -137,12 +171,9 @@ class ViewEngine:
             return None
         return self.page(query, place, 1)["rows"][0]
 
-    def _rows(self, query: Query) -> DataFrame:
-        return self.result.numbered().join(self.view(query).ids, "row_id").orderBy("rank")
-
     def frame(self, query: Query) -> DataFrame:
         """The wide table of a query's rows in its order."""
-        return self.result._wide(self._rows(query))
+        return self.result._wide(self._found(query).orderBy(*order(self.result, query)))
 
     def _flat(self, query: Query) -> DataFrame:
         wide = self.frame(query)
@@ -171,23 +202,25 @@ class ViewEngine:
         """
         if not ids:
             return []
-        found = {r["row_id"]: r.asDict() for r in self.result.numbered().where(F.col("row_id").isin(list(ids))).collect()}
-        out = []
-        for i in ids:
-            row = found[i]
-            status = STATUS_ORDER[row["status"]]
-            side = lambda name, gone: None if status is gone else [json_value(row[c]) if (c := getattr(x, name)) else None for x in self.result.layout]  # noqa: B023, E731
-            one = {
-                "id": i,
-                "s": status.value,
-                "d": [k for k, x in enumerate(self.result.layout) if x.flag and row[x.flag]],
-                "l": side("left", Status.MISSING_LEFT),
-                "r": side("right", Status.MISSING_RIGHT),
-            }
-            if self.result.has_duplicates and max(row["nl"] or 0, row["nr"] or 0) > 1:
-                one["k"] = [row["nl"] or 0, row["nr"] or 0]
-            out.append(one)
-        return out
+        # few values at a time: cached batches are skipped by their least and greatest id only for short lists
+        low, high = min(ids), max(ids)
+        near = reduce(lambda a, b: a | b, [F.col("row_id").isin(ids[k : k + 8]) for k in range(0, len(ids), 8)]) if high - low >= len(ids) else F.lit(True)
+        found = {r["row_id"]: r for r in self.result.numbered().where(F.col("row_id").between(low, high) & near).collect()}
+        return [self._plain(found[i]) for i in ids]
+
+    def _plain(self, row: Row) -> dict[str, Any]:
+        status = STATUS_ORDER[row["status"]]
+        side = lambda name, gone: None if status is gone else [json_value(row[c]) if (c := getattr(x, name)) else None for x in self.result.layout]
+        one = {
+            "id": row["row_id"],
+            "s": status.value,
+            "d": [k for k, x in enumerate(self.result.layout) if x.flag and row[x.flag]],
+            "l": side("left", Status.MISSING_LEFT),
+            "r": side("right", Status.MISSING_RIGHT),
+        }
+        if self.result.has_duplicates and max(row["nl"] or 0, row["nr"] or 0) > 1:
+            one["k"] = [row["nl"] or 0, row["nr"] or 0]
+        return one
 
 
 # ---- predicates --------------------------------------------------------------------------------------------------
@@ -213,87 +246,93 @@ def predicate(result: DiffResult, query: Query) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _sides(column: Layout) -> Iterator[tuple[str, str | None, T.DataType]]:
-    """Where a column has values: the side, or None for a key, whose value both sides have."""
-    if column.info.kind == "key":
-        yield column.left, None, column.info.dtype
-        return
-    for side, name, kind in (("left", column.left, column.info.dtype_left), ("right", column.right, column.info.dtype_right)):
-        if name:
-            yield name, side, kind
+def _values(column: Layout) -> list[tuple[Column, str, T.DataType]]:
+    """Whether a row has the value, the column that holds it and its type: once for a key, else for each side."""
+    info = column.info
+    if info.kind == "key":
+        return [(F.lit(True), column.left, info.dtype)]
+    held = (("left", column.left, info.dtype_left), ("right", column.right, info.dtype_right))
+    return [(_present(side), name, kind) for side, name, kind in held if name]
 
 
 def _either(column: Layout, tested) -> Column:
     """Whether a side that the row has satisfies a test; what is missing satisfies none."""
-    found = []
-    for name, side, kind in _sides(column):
-        to = column.info.compare_dtype
-        value, kind = (comparable(F.col(name), kind, to), to) if to is not None else (F.col(name), kind)
-        one = F.coalesce(tested(value, kind), F.lit(False))
-        found.append(one if side is None else _present(side) & one)
-    return reduce(lambda a, b: a | b, found, F.lit(False))
+    to = column.info.compare_dtype
+    aligned = lambda name, kind: (F.col(name), kind) if to is None else (comparable(F.col(name), kind, to), to)
+    return reduce(lambda a, b: a | b, [there & F.coalesce(tested(*aligned(name, kind)), F.lit(False)) for there, name, kind in _values(column)], F.lit(False))
+
+
+def _holds(text: Column, part: str, how: str) -> Column:
+    return getattr(F.lower(text), how)(F.lit(part.lower()))
+
+
+def _in_range(value: Column, low: Any, high: Any) -> Column:
+    """Ends that make no sense are open."""
+    ends = [value >= F.lit(low)] * (low is not None) + [value <= F.lit(high)] * (high is not None)
+    return reduce(lambda a, b: a & b, ends, value.isNotNull())
+
+
+#: A test of a value (NaN taken as null) and its text by operator; a number's range and a day's differ.
+_TESTS = {
+    "is_null": lambda v, text, f: v.isNull(),
+    "not_null": lambda v, text, f: v.isNotNull(),
+    "true": lambda v, text, f: v.eqNullSafe(F.lit(True)),
+    "false": lambda v, text, f: v.eqNullSafe(F.lit(False)),
+    "eq": lambda v, text, f: F.lit(False) if (n := _number(f.a)) is None else v == F.lit(n),
+    "ne": lambda v, text, f: F.lit(False) if (n := _number(f.a)) is None else v != F.lit(n),
+    "is_empty": lambda v, text, f: v.isNull() | (text == ""),
+    "not_empty": lambda v, text, f: text != "",
+    "equals": lambda v, text, f: text == F.lit(f.a),
+    "contains": lambda v, text, f: _holds(text, f.a, "contains"),
+    "not_contains": lambda v, text, f: ~_holds(text, f.a, "contains"),
+    "starts": lambda v, text, f: _holds(text, f.a, "startswith"),
+    "ends": lambda v, text, f: _holds(text, f.a, "endswith"),
+    "between number": lambda v, text, f: _in_range(v, _number(f.a), _number(f.b)),
+    "between datetime": lambda v, text, f: _in_range(F.to_date(v), _day(f.a), _day(f.b)),
+}
 
 
 def test(value: Column, kind: T.DataType, one: ColumnFilter) -> Column:
     """A filter's test of a value; null counts as false. NaN is a missing value."""
     value = missing_nan(value, kind)
-    if one.op in ("is_null", "not_null"):
-        return value.isNull() if one.op == "is_null" else value.isNotNull()
-    if one.op in ("true", "false"):
-        return value.eqNullSafe(F.lit(one.op == "true"))
-    if one.op == "between" and isinstance(kind, T.NumericType):
-        return _between(value, _number(one.a), _number(one.b))
-    if one.op == "between":
-        return _between(F.to_date(value), _day(one.a), _day(one.b))
-    if one.op in ("eq", "ne"):
-        number = _number(one.a)
-        if number is None:
-            return F.lit(False)
-        return value == F.lit(number) if one.op == "eq" else value != F.lit(number)
-    text = as_text(value, kind)
-    if one.op in ("is_empty", "not_empty"):
-        return (value.isNull() | (text == "")) if one.op == "is_empty" else text != ""
-    if one.op == "equals":
-        return text == F.lit(one.a)
-    low, part = F.lower(text), F.lit(one.a.lower())
-    return {"contains": lambda: low.contains(part), "not_contains": lambda: ~low.contains(part), "starts": lambda: low.startswith(part), "ends": lambda: low.endswith(part)}[one.op]()
-
-
-def _between(value: Column, low: Any, high: Any) -> Column:
-    tests = [value.isNotNull()] + [value >= F.lit(low)] * (low is not None) + [value <= F.lit(high)] * (high is not None)
-    return reduce(lambda a, b: a & b, tests)
+    name = one.op if one.op != "between" else "between number" if isinstance(kind, T.NumericType) else "between datetime"
+    return _TESTS[name](value, as_text(value, kind), one)
 
 
 def _number(text: str) -> float | None:
     try:
-        return float(text)
+        return float(text.strip())
     except ValueError:
         return None
 
 
 def _day(text: str) -> dt.date | None:
     try:
-        return dt.date.fromisoformat(text[:10])
+        return dt.date.fromisoformat(text.strip()[:10])
     except ValueError:
         return None
 
 
+#: The characters that texts of a type are made of (fixed values); a search for any other finds nothing in them.
+_DIGITS = frozenset("0123456789")
+_SYMBOLS = (
+    (T.NumericType, lambda kind: _DIGITS | set(".-+e") | set("naif" if is_float(kind) else "")),
+    ((T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType, T.DayTimeIntervalType), lambda kind: _DIGITS | set("-:t .")),
+)
+
+
 def _can_hold(kind: T.DataType, needle: str) -> bool:
     """Whether a type's text can hold a needle; part of what a search finds, not only of how fast."""
     if isinstance(kind, T.BooleanType):
-        return needle in "true" or needle in "false"
-    if isinstance(kind, T.NumericType):
-        return set(needle) <= set("0123456789.-+e" + ("naif" if is_float(kind) else ""))
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) or type(kind).__name__ == "TimeType" or isinstance(kind, T.DayTimeIntervalType):
-        return set(needle) <= set("0123456789-:t .")
-    return True
+        return any(needle in word for word in ("true", "false"))
+    return all(set(needle) <= symbols(kind) for kinds, symbols in _SYMBOLS if isinstance(kind, kinds))
 
 
 def _searched(result: DiffResult, needle: str) -> Column:
     """Whether any value of the row holds the needle, whatever its case."""
     found = []
     for column in result.layout:
-        for name, _, kind in _sides(column):
+        for _, name, kind in _values(column):
             if not _can_hold(kind, needle):
                 continue
             text = as_text(F.col(name), kind)
@@ -312,12 +351,10 @@ def order(result: DiffResult, query: Query) -> list[Column]:
         by = F.col("status")
     elif query.sort_column is not None:
         column = result.layout[query.sort_column]
-        sides = [(name, side, kind) for name, side, kind in _sides(column)]
         # no NaN here is missing: it sorts as the greatest number
-        value = lambda name, kind: F.col(name).try_cast(column.info.compare_dtype) if column.info.compare_dtype is not None else F.col(name)
-        by = value(sides[0][0], sides[0][2])
-        if len(sides) == 2:
-            by = F.when(_present("left"), by).otherwise(value(sides[1][0], sides[1][2]))
+        to = column.info.compare_dtype
+        held = [(there, F.col(name) if to is None else F.col(name).try_cast(to)) for there, name, _ in _values(column)]
+        by = held[0][1] if len(held) == 1 else F.when(held[0][0], held[0][1]).otherwise(held[1][1])
         if isinstance(column.info.dtype, T.MapType):
             by = as_text(by, column.info.dtype)
     if by is None:

@@ -32,6 +32,8 @@ def _arrow(frame: Any):
         return frame
     if hasattr(frame, "collect") and not hasattr(frame, "__arrow_c_stream__"):
         frame = frame.collect()
+    if callable(getattr(frame, "to_polars", None)):
+        frame = frame.to_polars()
     for method in ("toArrow", "to_arrow", "arrow"):
         if callable(getattr(frame, method, None)):
             found = getattr(frame, method)()
@@ -55,22 +57,28 @@ def _from_pandas(frame: Any, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pa.Table.from_pandas(text, preserve_index=False))
 
 
-def ordered(frame: DataFrame, name: str) -> DataFrame:
-    """frame with its rows numbered from 0, gapless, in the order in which Spark reads them.
+def settled(frame: DataFrame) -> DataFrame:
+    """frame with its rows fixed: a checkpoint where the session has a folder for them, else persisted.
+
+    For what decides how rows pair and must not change when a part is computed again.
+    """
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.persist()
+
+
+def ordered(frame: DataFrame, name: str) -> tuple[DataFrame, int, DataFrame]:
+    """frame with its rows numbered from 0, gapless, in the order in which Spark reads them; how many; what is kept for it.
 
     The number of rows in each partition goes to the driver, one row a partition, and comes back as a map from which
     every row takes its start. Spark fixes no order of rows; this one is as stable as the source's.
     """
     spark = frame.sparkSession
-    marked = frame.withColumn("__fd_mono", F.monotonically_increasing_id()).persist()
+    kept = settled(frame.withColumn("__fd_mono", F.monotonically_increasing_id()))
     part = F.shiftright("__fd_mono", 33)
-    sizes = dict(marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    sizes = dict(kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     start, at = [], 0
     for p in sorted(sizes):
         start.append((p, at))
         at += sizes[p]
     starts = spark.createDataFrame(start or [(0, 0)], T.StructType([T.StructField("__fd_part", T.LongType()), T.StructField("__fd_start", T.LongType())]))
-    numbered = marked.join(F.broadcast(starts), part == F.col("__fd_part"))  # a row for each partition
-    out = numbered.withColumn(name, F.col("__fd_start") + F.col("__fd_mono").bitwiseAND((1 << 33) - 1)).select(*[f"`{c}`" for c in frame.columns], name)
-    out._fd_marked = marked
-    return out
+    numbered = kept.join(F.broadcast(starts), part == F.col("__fd_part"))  # a row for each partition
+    return numbered.withColumn(name, F.col("__fd_start") + F.col("__fd_mono").bitwiseAND((1 << 33) - 1)).select(*[f"`{c}`" for c in frame.columns], name), at, kept
