@@ -136,3 +136,45 @@ def test_run(spark, corpus, stages, tmp_path):
 def test_verdicts_are_the_filter(spark, corpus):
     docs = spark.createDataFrame(corpus, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in quality.filtered(docs).collect()} == {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _staged(spark, rows):
+    docs, out = spark.createDataFrame(rows, SCHEMA), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, ""), "stage")
+        out.append(docs.collect())
+    return out
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    dice = random.Random(31)
+    clean = lambda n: " ".join(f"term{dice.randrange(10**6)}" for _ in range(n))
+    a, b, c = clean(90), clean(120), clean(150)
+    passage = clean(70)
+    near = a.split()
+    near[40] = "other"
+    texts = [(None, a), (5, a), (5, b), (None, c), (None, c), (8, " ".join(near)), (9, f"{clean(60)} {passage}"), (None, f"{passage} {clean(60)}"), (9, None), (None, None), (None, ""), (8, "too short")]
+    rows = [(d, t, [None, "en"][k % 2], [None, "s"][k % 3 == 0], None if t is None else len(t)) for k, (d, t) in enumerate(texts)]
+    good, alone, cut, mix, packed = _staged(spark, rows)
+    assert Counter((r.doc_id, r.text) for r in good) == Counter((d, t) for d, t in texts if t and len(t.split()) >= 50)
+    # one row of each component: the least doc_id, null ones last
+    assert Counter((r.doc_id, r.text) for r in alone) == Counter([(5, a), (5, b), (None, c), texts[6], texts[7]])
+    assert set(alone) <= set(rows_of(rows))
+    left = {(r.doc_id, r.text) for r in cut}
+    assert texts[6] in left and len(cut) == len(alone) and [len(t.split()) for d, t in left if d is None and t != c] == [60]
+    assert {r.doc_id for r in mix} <= {5, 9, None} and sum(p.length for p in packed) > 0
+
+
+def rows_of(rows):
+    from pyspark.sql import Row
+
+    return [Row(doc_id=r[0], text=r[1], lang=r[2], source=r[3], n_chars=r[4]) for r in rows]
+
+
+def test_no_rows(spark, tmp_path):
+    assert _staged(spark, []) == [[]] * 5
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
