@@ -319,6 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dup_rows": _repeated_rows,
     "dup_by_position": _by_position,
     "dup_greedy_pairs": _greedy,
+    "dup_similar_pairs": base.QUERIES["dup_similar_pairs"],
     "dup_number_nulls_last": _nulls_last,
     "view_first_page": _page(lambda r: Query(), "value", 0, 60),
     "view_last_page": _page(lambda r: Query(), "value", 10**6, 70),
@@ -355,27 +356,42 @@ def _side(c: str, kind: str = "VARCHAR") -> str:
 
 
 _NUMBERED_LINES = "SELECT *, row_number() OVER () AS pos FROM lineitem"
-_GREEDY_NUMBERED = """n AS (SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, 1 AS s FROM a UNION ALL SELECT l_orderkey, l_linenumber, 0 FROM b) GROUP BY ALL HAVING sum(s) = 2 AND sum(1 - s) = 2)"""
+_OTHERS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _left_over() -> str:
+    """CTEs ra and rb: what both sides of repeated keys have left once the n-th copy has met the n-th."""
+    values = ", ".join(_OTHERS)
+    left, right = (_plain(sql).replace("FROM lineitem", "FROM t") for sql in SIDES["lineitem"])
+    copies = lambda side: f"{side}c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, {values} ORDER BY pos) AS copy FROM {side} SEMI JOIN n USING (l_orderkey, l_linenumber))"
+    rest = lambda side, other: f"r{side} AS (SELECT * FROM {side}c ANTI JOIN {other}c USING (l_orderkey, l_linenumber, {values}, copy))"
+    return f"""t AS ({_NUMBERED_LINES}), a AS ({left}), b AS ({right.replace("SELECT l_orderkey", "SELECT pos, l_orderkey")}),
+      n AS (SELECT l_orderkey, l_linenumber, sum(s) AS nl, sum(1 - s) AS nr FROM (SELECT l_orderkey, l_linenumber, 1 AS s FROM a UNION ALL SELECT l_orderkey, l_linenumber, 0 FROM b) GROUP BY ALL),
+      {copies("a")}, {copies("b")}, {rest("a", "b")}, {rest("b", "a")}"""
+
+
+_DISTANCE = " + ".join(f"CAST(x.{c} IS DISTINCT FROM y.{c} AS INT)" for c in _OTHERS)
 
 
 def _greedy_sql() -> str:
-    """Keys of two rows a side: equal rows first; of what is left, one pair if there is one row, else the better of the two ways,
-    which is the one that has the pair with the fewest differences, the first in order."""
-    others = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    values = ", ".join(others)
-    left = _plain(SIDES["lineitem"][0]).replace("FROM lineitem", "FROM t")
-    right = _plain(SIDES["lineitem"][1]).replace("FROM lineitem", "FROM t").replace("SELECT l_orderkey", "SELECT pos, l_orderkey")
-    distance = " + ".join(f"CAST(x.{c} IS DISTINCT FROM y.{c} AS INT)" for c in others)
-    shown = ", ".join(f"x.{c} AS {c}_left, y.{c} AS {c}_right" for c in ("l_partkey", "l_suppkey", "l_quantity"))
-    names = ", ".join(f"{c}_{s}" for c in ("l_partkey", "l_suppkey", "l_quantity") for s in ("left", "right"))
-    return f"""WITH t AS ({_NUMBERED_LINES}), a AS ({left}), b AS ({right}), {_GREEDY_NUMBERED},
-      ac AS (SELECT a.*, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, {values} ORDER BY pos) AS copy FROM a SEMI JOIN n USING (l_orderkey, l_linenumber)),
-      bc AS (SELECT b.*, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, {values} ORDER BY pos) AS copy FROM b SEMI JOIN n USING (l_orderkey, l_linenumber)),
-      ra AS (SELECT * FROM ac ANTI JOIN bc USING (l_orderkey, l_linenumber, {values}, copy)), rb AS (SELECT * FROM bc ANTI JOIN ac USING (l_orderkey, l_linenumber, {values}, copy)),
-      p AS (SELECT x.l_orderkey, x.l_linenumber, x.pos AS xa, y.pos AS ya, {shown}, row_number() OVER (PARTITION BY x.l_orderkey, x.l_linenumber ORDER BY {distance}, x.pos, y.pos) AS nth FROM ra x JOIN rb y USING (l_orderkey, l_linenumber)),
+    """Keys of two rows a side: of what is left, the pair with the fewest differences, the first in order, then the other two."""
+    shown = [f"{c}_{s}" for c in ("l_partkey", "l_suppkey", "l_quantity") for s in ("left", "right")]
+    made = ", ".join(f"{'x' if c.endswith('left') else 'y'}.{c.rpartition('_')[0]} AS {c}" for c in shown)
+    return f"""WITH {_left_over()},
+      p AS (SELECT x.l_orderkey, x.l_linenumber, x.pos AS xa, y.pos AS ya, {made}, row_number() OVER (PARTITION BY x.l_orderkey, x.l_linenumber ORDER BY {_DISTANCE}, x.pos, y.pos) AS nth
+        FROM ra x JOIN rb y USING (l_orderkey, l_linenumber) SEMI JOIN (SELECT * FROM n WHERE nl = 2 AND nr = 2) USING (l_orderkey, l_linenumber)),
       f AS (SELECT * FROM p WHERE nth = 1)
-    SELECT l_orderkey, l_linenumber, {names} FROM f UNION ALL
-    SELECT p.l_orderkey, p.l_linenumber, {", ".join("p." + c.strip() for c in names.split(","))} FROM p JOIN f USING (l_orderkey, l_linenumber) WHERE p.xa <> f.xa AND p.ya <> f.ya"""
+    SELECT l_orderkey, l_linenumber, {", ".join(shown)} FROM f UNION ALL
+    SELECT p.l_orderkey, p.l_linenumber, {", ".join(f"p.{c}" for c in shown)} FROM p JOIN f USING (l_orderkey, l_linenumber) WHERE p.xa <> f.xa AND p.ya <> f.ya"""
+
+
+def _similar_sql() -> str:
+    """All keys: the best pair is taken and what shares a row with it goes, until none is left; pairs by their differences."""
+    return f"""WITH RECURSIVE {_left_over()},
+      p AS (SELECT l_orderkey, l_linenumber, list_sort(list({{'d': {_DISTANCE}, 'lo': x.pos, 'ro': y.pos}})) AS rest FROM ra x JOIN rb y USING (l_orderkey, l_linenumber) GROUP BY ALL),
+      g AS (SELECT l_orderkey, l_linenumber, rest[1] AS taken, list_filter(rest, lambda z: z.lo <> rest[1].lo AND z.ro <> rest[1].ro) AS rest FROM p
+        UNION ALL SELECT l_orderkey, l_linenumber, rest[1], list_filter(rest, lambda z: z.lo <> rest[1].lo AND z.ro <> rest[1].ro) FROM g WHERE len(rest) > 0)
+    SELECT taken.d AS differing, count(*) AS count FROM g GROUP BY ALL"""
 
 
 _LEFT, _RIGHT = (f"SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_id % {m} <> {k}" for m, k in ((11, 3), (13, 4)))
@@ -399,6 +415,7 @@ ORACLE: dict[str, str] = {
     "dup_rows": f"{base._PER_KEY} SELECT CAST(sum(greatest(nl, nr)) AS BIGINT) AS many, TRUE AS has FROM k WHERE nl > 1 OR nr > 1",
     "dup_by_position": f"SELECT event_type, CASE WHEN r.n IS NULL THEN 'missing_right' WHEN l.n IS NULL THEN 'missing_left' ELSE 'mismatch' END AS status, l.event_id AS event_left, r.event_id + 1000000 AS event_right FROM ({_LEFT}) l FULL JOIN ({_RIGHT}) r USING (event_type, n)",
     "dup_greedy_pairs": _greedy_sql(),
+    "dup_similar_pairs": _similar_sql(),
     "dup_number_nulls_last": f"""WITH l AS (SELECT user_id, event_id, {_AT} AS n FROM events), r AS (SELECT user_id, event_id, {_AT} AS n FROM events WHERE event_id % 17 <> 5)
       SELECT user_id, CASE WHEN r.n IS NULL THEN 'missing_right' WHEN l.event_id IS DISTINCT FROM r.event_id THEN 'mismatch' ELSE 'equal' END AS status, l.event_id AS event_left, r.event_id AS event_right FROM l FULL JOIN r USING (user_id, n)""",
     "view_first_page": _page_sql("row_id", _side("value"), 0, 60),

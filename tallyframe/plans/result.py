@@ -184,6 +184,8 @@ class DiffResult:
     def unpersist(self) -> None:
         """Lets go of everything that is kept for this result; asked again, it is made again."""
         self._release()
+        if self._repeats is not None:
+            self._repeats.unpersist()
         for name in ("_numbered", "joined"):
             if name in self.__dict__:
                 if name == "_numbered":

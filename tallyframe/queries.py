@@ -5,6 +5,8 @@ Each pair of sides is SQL that Spark and DuckDB both run; {t} stands for table t
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Callable
 
@@ -121,11 +123,11 @@ def _other_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys and statuses in the lines of an export."""
+    """The lines of an export."""
     result = _of(spark, sf_dir, "events", "event_id")
-    lines = ViewEngine(result).export_csv(Query(diff_column=_place(result, "event_type"))).decode().splitlines()
-    rows = [(int(x.split(",")[0]), x.split(",")[1]) for x in lines[1:]]
-    return spark.createDataFrame(rows, "event_id long, status string")
+    lines = csv.DictReader(io.StringIO(ViewEngine(result).export_csv(Query(diff_column=_place(result, "event_type"))).decode()))
+    rows = [(int(x["event_id"]), x["status"], x["differing"], x["event_type [left]"], x["event_type [right]"], int(x["user_id [left]"]), x["value [right]"] == "") for x in lines]
+    return spark.createDataFrame(rows, "event_id long, status string, differing string, old string, new string, user_id long, empty boolean")
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +274,7 @@ ORACLE: dict[str, str] = {
     "dup_number_order_by": f"{_numbered('l_partkey, l_suppkey, l_extendedprice, l_shipdate', 'l_orderkey, l_linenumber', _OTHERS)} SELECT l_orderkey, l_linenumber, status, count(*) AS count FROM j GROUP BY ALL",
     "dup_match_status_counts": f"{_PER_KEY} SELECT l_orderkey, l_linenumber, e AS equal, least(nl, nr) - e AS mismatch, greatest(nr - nl, 0) AS missing_left, greatest(nl - nr, 0) AS missing_right FROM k",
     "source_pandas_arrow": f"{_joined('nations', 'n_nationkey', ['n_name', 'n_regionkey'])} {_ALL}",
-    "view_export_csv": f"{_JE} SELECT event_id, status FROM j WHERE pl AND pr AND event_type_left IS DISTINCT FROM event_type_right",
+    "view_export_csv": f"{_JE} SELECT event_id, status, '[' || concat_ws(',', '\"event_type\"', CASE WHEN value_left IS DISTINCT FROM value_right THEN '\"value\"' END) || ']' AS differing, event_type_left AS old, event_type_right AS new, user_id_left AS user_id, value_right IS NULL AS empty FROM j WHERE pl AND pr AND event_type_left IS DISTINCT FROM event_type_right",
     "view_filter_true": _sides_where("done_{0}", _joined("flags", "o_orderkey", ["done", "large"])),
     "view_filter_false": _sides_where("NOT large_{0}", _joined("flags", "o_orderkey", ["done", "large"])),
     "view_filter_boolean_null": _sides_where("large_{0} IS NULL", _joined("flags", "o_orderkey", ["done", "large"])),
