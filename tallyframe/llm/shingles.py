@@ -47,6 +47,23 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return mixed((upto[end] - upto[start]) * _DOWN[start])
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def spotted_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of a text, as word_hashes() has it, and where it starts."""
+    raw = np.frombuffer(text, np.uint8)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _SPACE[raw]
+    turn = np.flatnonzero(space[1:] != space[:-1])
+    start, end = turn[::2], turn[1::2]
+    _grown(len(raw) + 1)
+    upto = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _UP[: len(raw)], out=upto[1:])
+    return mixed((upto[end] - upto[start]) * _DOWN[start]), start
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of `size` words; for fewer words, if any, one for all of them."""
     n = len(words)
