@@ -95,12 +95,17 @@ class Node:
     def piece(self, number: int) -> str:
         return next(self.pieces_from(number))
 
-    def counts_from(self) -> Iterator[int]:
-        if self.texts is not None:
-            yield from self.counts
-        else:
-            yield from self.left.counts_from()
-            yield from self.right.counts_from()
+    def flat(self) -> tuple[list[str], list[int]]:
+        """All pre-tokens and their counts."""
+        texts, counts, todo = [], [], [self]
+        while todo:
+            node = todo.pop()
+            if node.texts is None:
+                todo += (node.right, node.left)
+            else:
+                texts += node.texts
+                counts += node.counts
+        return texts, counts
 
     def replaced(self, first: int, end: int, texts: list[str], counts: list[int]) -> Node:
         """This tree with pre-tokens first to end exchanged; subtrees outside stay as they are."""
@@ -120,13 +125,13 @@ class Node:
             return right if not left.pieces else left
         node, both = Node(None, None, left, right), left.pieces + right.pieces
         if both <= LEAF or 4 * max(left.pieces, right.pieces) > 3 * both + 4 * LEAF:
-            return Node.built(list(node.pieces_from(0)), list(node.counts_from()))
+            return Node.built(*node.flat())
         return node
 
     def packed(self) -> bytes:
         """The tree's pre-tokens and their counts, to be kept."""
-        texts = list(self.pieces_from(0))
-        lens, counts = np.fromiter(map(len, texts), "<u4", len(texts)), np.fromiter(self.counts_from(), "<u4", len(texts))
+        texts, counts = self.flat()
+        lens, counts = np.fromiter(map(len, texts), "<u4", len(texts)), np.array(counts, "<u4")
         short = bool(len(texts) and max(lens.max(), counts.max()) < 256)
         kind = "u1" if short else "<u4"
         raw = b"".join((lens.astype(kind).tobytes(), counts.astype(kind).tobytes(), "".join(texts).encode("utf-8", "surrogatepass")))
@@ -254,8 +259,8 @@ def trees(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ())
     return docs.select(*asked, empty_text().alias("counted text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in asked), _COUNTS, "tree binary"]))
 
 
-def edited(kept: DataFrame, path: str, pattern: str, edits: str = "edits") -> DataFrame:
-    """doc_id, n_pieces, n_tokens, n_edits, n_pieces_after, n_tokens_after, n_encoded and the new tree of each row of kept.
+def edited(kept: DataFrame, path: str, pattern: str, edits: str = "edits", keep: bool = True) -> DataFrame:
+    """doc_id, n_pieces, n_tokens, n_edits, n_pieces_after, n_tokens_after, n_encoded and, to keep, the new tree of each row of kept.
 
     kept: as trees() makes it, or this function, with a column of type EDITS. Edits are applied in order; positions are
     code points in the text as it then is and are moved into it. n_encoded: pre-tokens that the edits had encoded. Null
@@ -275,17 +280,17 @@ def edited(kept: DataFrame, path: str, pattern: str, edits: str = "edits") -> Da
                     fine = [e for e in todo.as_py() or [] if e and e["start"] is not None and e["end"] is not None]
                     for e in fine:
                         doc.edit(e["start"], e["end"], e["text"] or "")
-                    rows.append((*row, len(fine), doc.tree.pieces, doc.tokens, doc.encoded, doc.tree.packed()))
+                    rows.append((*row, len(fine), doc.tree.pieces, doc.tokens, doc.encoded, doc.tree.packed() if keep else None))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names)
 
     schema = ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names[1:-1]), "tree binary"])
-    return kept.select("doc_id", "tree", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, schema)
+    return kept.select("doc_id", "tree", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, schema).drop(*([] if keep else ["tree"]))
 
 
-def recounted(docs: DataFrame, path: str, pattern: str, edits: str = "edits") -> DataFrame:
+def recounted(docs: DataFrame, path: str, pattern: str, edits: str = "edits", keep: bool = True) -> DataFrame:
     """What edited() gives for trees of docs, which are written to the shared folder first. Repeated rows are edited each."""
-    return edited(written(trees(docs, path, pattern, (edits,)), "token-trees"), path, pattern, edits)
+    return edited(written(trees(docs, path, pattern, (edits,)), "token-trees"), path, pattern, edits, keep)
 
 
 def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,4 +302,4 @@ def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), size)
     edit = lambda start, more, text: F.struct(start.alias("start"), (start + more).alias("end"), F.lit(text).alias("text"))
     edits = F.array(edit(at(1), 12, " it's 2024, changed"), edit(at(2), 0, "new  words\n"), edit(at(3), 40, ""))
-    return recounted(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("tree")
+    return recounted(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
