@@ -25,3 +25,12 @@ def exchanges(frame):
 def test_by_position_where_ids_of_one_side_are_ids_of_the_other(spark, tmp_path):
     spark.createDataFrame([(0, "a", 5.0), (1, "a", 1.0), (1_000_000, "a", 6.0)], "event_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert rows(more_queries.QUERIES["dup_by_position"](spark, str(tmp_path)), "event_left", "event_right", "status") == [(0, 1_000_000, "mismatch"), (1, 1_000_001, "mismatch"), (1_000_000, 2_000_000, "mismatch")]
+def test_a_view_of_repeated_keys_takes_no_row_ids(spark):
+    a, b = (x.coalesce(1) for x in pair(spark))
+    result, again = compare(a, b, "k"), compare(a, b, "k")
+    query = Query(duplicates_only=True, sort_column=1)
+    frame = ViewEngine(result).frame(query)
+    shown = [tuple(r) for r in frame.collect()]
+    assert "_numbered" not in result.__dict__
+    page = ViewEngine(again).page(query, 0, 1000)["rows"]
+    assert [(r[3], r[4]) for r in shown] == [(x["l"] and x["l"][1], x["r"] and x["r"][1]) for x in page]
