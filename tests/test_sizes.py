@@ -34,3 +34,12 @@ def test_a_view_of_repeated_keys_takes_no_row_ids(spark):
     assert "_numbered" not in result.__dict__
     page = ViewEngine(again).page(query, 0, 1000)["rows"]
     assert [(r[3], r[4]) for r in shown] == [(x["l"] and x["l"][1], x["r"] and x["r"][1]) for x in page]
+
+
+def test_rows_of_a_key_meet_by_one_shuffle(spark):
+    had = kept(spark)
+    for options in ({"duplicates": "match"}, {"duplicates": "number"}, {"duplicates": "number", "order_by": ["v", "at"]}):
+        result = compare(*pair(spark), "k", ignore_columns=["at"], **options)
+        assert exchanges(result.frame()) == 1
+        result.frame().count()
+        assert kept(spark) == had
