@@ -43,3 +43,11 @@ def test_rows_of_a_key_meet_by_one_shuffle(spark):
         assert exchanges(result.frame()) == 1
         result.frame().count()
         assert kept(spark) == had
+
+
+def test_counts_without_pairing_are_those_of_the_rows(spark):
+    result = compare(*pair(spark), "k", ignore_columns=["at"])
+    before = counts(result)
+    assert "joined" not in result.__dict__
+    found = {r["status"]: r["count"] for r in result.frame().groupBy("status").count().collect()}
+    assert before == tuple(found.get(s, 0) for s in ("equal", "mismatch", "missing_right", "missing_left"))
