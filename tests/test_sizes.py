@@ -51,3 +51,11 @@ def test_counts_without_pairing_are_those_of_the_rows(spark):
     assert "joined" not in result.__dict__
     found = {r["status"]: r["count"] for r in result.frame().groupBy("status").count().collect()}
     assert before == tuple(found.get(s, 0) for s in ("equal", "mismatch", "missing_right", "missing_left"))
+
+
+def test_keys_that_repeat_take_one_aggregation(spark):
+    had = kept(spark)
+    result = compare(*pair(spark), "k")
+    shown = result.duplicates
+    assert "look" not in result._matcher.__dict__ and kept(spark) == had
+    assert [r["k"] for r in shown.collect()] == list(range(130))
