@@ -59,3 +59,9 @@ def test_keys_that_repeat_take_one_aggregation(spark):
     shown = result.duplicates
     assert "look" not in result._matcher.__dict__ and kept(spark) == had
     assert [r["k"] for r in shown.collect()] == list(range(130))
+
+
+def test_rows_of_repeated_keys_are_counted_without_pairing(spark):
+    result = compare(*pair(spark), "k", ignore_columns=["at"])
+    assert result.duplicate_rows and "joined" not in result.__dict__
+    assert result.duplicate_rows == result.frame().join(result.duplicates.select("k"), "k").count()
