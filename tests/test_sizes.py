@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyframe import compare, more_queries
+from tallyframe.functions.text import edit_script
 from tallyframe.plans.view import Query, ViewEngine
 
 from .test_compare import counts, rows
@@ -65,3 +66,18 @@ def test_rows_of_repeated_keys_are_counted_without_pairing(spark):
     result = compare(*pair(spark), "k", ignore_columns=["at"])
     assert result.duplicate_rows and "joined" not in result.__dict__
     assert result.duplicate_rows == result.frame().join(result.duplicates.select("k"), "k").count()
+
+
+def test_an_edit_script_that_is_known_needs_no_search():
+    class Word(int):
+        seen = 0
+        __hash__ = int.__hash__
+
+        def __eq__(self, other):
+            Word.seen += 1
+            return int.__eq__(self, other)
+
+    a, b = ([Word(2 * i + k) for i in range(600)] for k in (0, 1))
+    assert edit_script(a, b) is None and Word.seen < 10_000
+    a, b = ([Word(10_000 * (i % 2) * k + i) for i in range(480)] for k in (1, 2))
+    assert edit_script(a, b) == "=" + "-+=".join([""] * 240) + "-+" and Word.seen < 20_000
